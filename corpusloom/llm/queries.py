@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, neighbours
+from corpusloom.llm import clusters, names, neighbours
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe_groups(clusters.group_similar(_read(spark, folder, "feature_matrix")), titles)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.spelling_pairs(names.link_spellings(_read(spark, folder, "paper_hit"), _read(spark, folder, "given_name")))
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_spellings(_read(spark, folder, "paper_hit"), _read(spark, folder, "given_name"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.most_similar(_read(spark, folder, "feature_matrix")))
 
