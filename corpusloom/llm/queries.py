@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, names, neighbours
+from corpusloom.llm import clusters, names, neighbours, pii
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -48,6 +48,16 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("key").alias("paper_key"), F.col("other").alias("near_key"), F.round("similarity", 6).alias("broad_score"), "rank")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(_read(spark, folder, "documents"), _read(spark, folder, "given_name"))
+    return found.select("doc_id", "kind", "value").distinct()
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return pii.redact(docs, pii.find_spans(docs, _read(spark, folder, "given_name")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
