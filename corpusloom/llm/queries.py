@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, names, neighbours, pii
+from corpusloom.llm import clusters, names, neighbours, pii, scans
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -39,6 +39,21 @@ def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
     return names.link_spellings(_read(spark, folder, "paper_hit"), _read(spark, folder, "given_name"))
 
 
+def _scanned(spark: SparkSession, folder: str, compose: bool) -> DataFrame:
+    docs = paper_key(_read(spark, folder, "paper_doc")).select("key", "title", "source_kind", "sections")
+    return scans.repair_documents(docs, compose=compose)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scanned(spark, folder, False).select(F.col("key").alias("paper_key"), "sec_no", F.explode("changes").alias("c"))
+    return rows.select("paper_key", "sec_no", "c.kind", "c.item").distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scanned(spark, folder, True).select(F.col("key").alias("paper_key"), "sec_no", "text", F.size("changes").alias("n_changes"))
+    return rows.dropDuplicates(["paper_key", "sec_no", "text"])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.most_similar(_read(spark, folder, "feature_matrix")))
 
