@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import clusters, names, neighbours, pii, scans
+from corpusloom.llm import clusters, mixing, names, neighbours, packing, pii, scans
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -63,6 +63,23 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("key").alias("paper_key"), F.col("other").alias("near_key"), F.round("similarity", 6).alias("broad_score"), "rank")
 
 
+def p5_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), _read(spark, folder, "context_window"))
+
+
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    windows = _read(spark, folder, "context_window")
+    return packing.fill_report(packing.pack(_read(spark, folder, "documents"), windows), windows)
+
+
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"))[0]
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"))[1]
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_spans(_read(spark, folder, "documents"), _read(spark, folder, "given_name"))
     return found.select("doc_id", "kind", "value").distinct()
