@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import base, retrieval
+
+MODULES = (retrieval,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
