@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import base, retrieval
+from corpusloom.plans import base, extraction, retrieval, review, synthesis
 
-MODULES = (retrieval,)
+MODULES = (retrieval, extraction, synthesis, review)
 
 
 def queries() -> dict:
