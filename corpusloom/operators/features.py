@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def words(x) -> Column:
@@ -64,11 +66,9 @@ def fold_text(x: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", x or "").casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_keyword(x: pd.Series) -> pd.Series:
     """NFKC, casefold, underscores, dashes and other signs as blanks, collapsed; null counts as empty."""
-    import re
-
     return x.map(lambda t: " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[_‐-―-]", " ", fold_text(t))).split()))
 
 
