@@ -102,7 +102,11 @@ def mix(docs: DataFrame, targets: DataFrame, wanted: int | None = None, seed: in
                 take[i], room = 1, room - x
         left = np.flatnonzero(take == 0)
         if len(left) and size[left].min() < 2 * room:
-            take[left[size[left].argmin()]] = 1
+            more = left[size[left].argmin()]
+            take[more], over = 1, int(size[more] - room)
+            for i in reversed(range(len(t))):  # and leave out others while the budget stays full
+                if take[i] and i != more and size[i] <= over:
+                    take[i], over = 0, over - size[i]
         return t.assign(more=take)[cols]
 
     kind = texts.schema["doc_id"].dataType.simpleString()
