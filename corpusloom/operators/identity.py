@@ -32,7 +32,7 @@ def inventory(records: DataFrame, strict: bool = False) -> DataFrame:
     early = (
         F.when(F.col("nth") > 1, say("duplicate", "identical record already kept"))
         .when(status == "skipped", say("skipped", F.coalesce(F.nullif("error", F.lit("")), F.lit("extraction skipped"))))
-        .when(F.lit(strict) & (status != "ok"), say("strict_ok_excluded", F.concat(F.lit("status="), status)))
+        .when(F.lit(strict) & ~F.coalesce(status == "ok", F.lit(False)), say("strict_ok_excluded", F.concat(F.lit("status="), F.coalesce(status, F.lit("null")))))
         .when(~F.coalesce(status.isin("ok", "degraded"), F.lit(False)), say("skipped", F.concat(F.lit("status="), F.coalesce(status, F.lit("null")))))
         .when(F.trim(F.coalesce("method", F.lit(""))) == "", say("missing_method", "blank or missing method text"))
     )
