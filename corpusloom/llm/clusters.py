@@ -122,6 +122,7 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
 
     def leaves(t: pa.Table) -> pa.Table:
         tree = CFTree(dim, leaf)
+        t = t.sort_by("key")
         x = vectors_of(t.column("vec")).astype(np.float32)
         tree.insert(np.ones(len(x)), x)
         m, sums = tree.entries()
@@ -129,7 +130,9 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
 
     def agglomerate(t: pa.Table) -> pa.Table:
         tree = CFTree(dim, leaf)
-        tree.insert(t.column("n").to_numpy(), vectors_of(t.column("ls")))
+        n, ls = t.column("n").to_numpy(), vectors_of(t.column("ls"))
+        order = np.lexsort((ls[:, 0], ls[:, -1], -n))
+        tree.insert(n[order], ls[order])
         m, sums = tree.entries()
         got = [candidates_of(m[own], sums[own], (bound, (1 + bound) / 2)) for own in _split_leaves(sums, WARD_LEAVES)]
         size, total = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])

@@ -250,7 +250,7 @@ def to_shards(table: DataFrame, centres: np.ndarray, copies: int, columns: str,
 
 def prepared(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, int]:
     """clean_vectors as a table in the shared folder, its vector length and its rows."""
-    table = materialize(clean_vectors(df, key, vector), "vectors")
+    table = materialize(clean_vectors(df, key, vector).sortWithinPartitions("key"), "vectors")  # trees depend on the order of their rows
     return same_length(table)
 
 
