@@ -53,7 +53,7 @@ def similar_pairs(features: DataFrame, least: float, by: tuple[str, ...] = ("cha
     Terms are ordered by how many rows hold them, rarest first. Two rows of length 1 can only reach `least` if they share a term outside the
     suffix of either row whose weights have a length below it, so only rows that share such a term are compared.
     """
-    f = features.groupBy("key", *by).agg(F.sum("weight").alias("weight"))
+    f = features.groupBy("key", *by).agg(F.sum("weight").alias("weight")).persist()  # read five times
     df = f.groupBy(*by).agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy(F.desc("df"), *by).rowsBetween(Window.unboundedPreceding, 0)
     prefix = f.join(df, list(by)).withColumn("suffix", F.sum(F.col("weight") * F.col("weight")).over(w)).where(F.col("suffix") >= least * least - 1e-9).where("df > 1").select("key", *by)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import base, extraction, retrieval, review, synthesis
+from corpusloom.plans import assembly, base, extraction, retrieval, review, synthesis
 
-MODULES = (retrieval, extraction, synthesis, review)
+MODULES = (retrieval, extraction, synthesis, review, assembly)
 
 
 def queries() -> dict:

@@ -82,9 +82,9 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return V.two_channels(_tfidf(spark, d), V.tfidf(k))
 
 
-@query(f"WITH {DOCS}, {TERMS}, {CHANNELS} SELECT a.key AS a, b.key AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM feat a JOIN feat b ON a.channel = b.channel AND a.term = b.term AND a.key < b.key GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.6")
+@query(f"WITH {DOCS}, {TERMS}, {CHANNELS} SELECT a.key AS a, b.key AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM feat a JOIN feat b ON a.channel = b.channel AND a.term = b.term AND a.key < b.key GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8")
 def two_channel_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return V.similar_pairs(_features(spark, d), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return V.similar_pairs(_features(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 SEED = "m AS (SELECT key, (row_number() OVER (ORDER BY key) - 1)::INT AS i FROM vec)"
