@@ -94,5 +94,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+# SQL that compares all vectors with all others; for the sizes at which the rows are checked.
+_PAIRS = """WITH RECURSIVE vec AS (SELECT paper_key AS key, min(matrix)::DOUBLE[] AS v FROM feature_matrix WHERE paper_key IS NOT NULL AND matrix IS NOT NULL AND len(matrix) > 0
+  AND len(list_filter(matrix, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(matrix, lambda x: x <> 0)) > 0 GROUP BY paper_key),
+near AS (SELECT a.key AS a, b.key AS b, list_cosine_similarity(a.v, b.v) AS s FROM vec a JOIN vec b ON a.key <> b.key WHERE list_cosine_similarity(a.v, b.v) >= 0.5)"""
+_TOP = "top AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near) WHERE r <= 5 AND s >= 0.80)"
+# Groups that are whole components of the pairs at 0.80 and hold the bound for every member.
+_GROUPS = """reach(a, b) AS (SELECT a, b FROM near WHERE s >= 0.80 UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a WHERE n.s >= 0.80 AND r.a <> n.b),
+mean AS (SELECT r.a, avg(list_cosine_similarity(x.v, y.v)) AS m FROM reach r JOIN vec x ON x.key = r.a JOIN vec y ON y.key = r.b GROUP BY r.a),
+good AS (SELECT r.a FROM reach r JOIN mean m ON m.a = r.b GROUP BY r.a HAVING min(m.m) >= 0.80)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"{_PAIRS}, {_GROUPS} SELECT a AS paper_key_a, b AS paper_key_b FROM reach WHERE a < b AND a IN (SELECT a FROM good)",
+        "p4_found": f"{_PAIRS}, {_TOP} SELECT DISTINCT least(a, b) AS paper_key_a, greatest(a, b) AS paper_key_b FROM top",
+        "p4_neighbours": f"{_PAIRS}, {_TOP} SELECT a AS paper_key, b AS near_key, round(s, 6) AS broad_score, r::INT AS rank FROM top",
+    }
