@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: Most words of the decoder's vocabulary, by count over all texts; a bound on what is broadcast.
 VOCABULARY = 300_000
 
+#: Least share of all words that makes the halves of an unknown compound words of their own.
+COMMON = 1e-5
+
 # Characters that are misread for each other, pairs first; and what one may have been besides.
 SAME_SHAPE = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "n")]
 _DIGITS = str.maketrans("|!105698", "lllosbgb")
@@ -72,6 +75,7 @@ class Decoder:
     def __init__(self, vocabulary: dict[str, int], edit_cost: float = 5.0):
         self.v = vocabulary
         self.total = math.log(sum(vocabulary.values()) + 1)
+        self.common = COMMON * sum(vocabulary.values())
         self.edit_cost = edit_cost
         self.lower: dict[str, int] = {}
         for w, n in vocabulary.items():
@@ -121,14 +125,13 @@ class Decoder:
         seen = self.count(w)
         bare = plain(w)
         digits = sum(map(str.isdigit, w))
-        odd = bare != w or any(c in "|!" for c in w)
-        if seen >= 200 and not odd or len(bare) < 3 or digits > 2 or digits * 2 > len(w):
+        if len(bare) < 3 or digits > 2 or digits * 2 > len(w):
             return w, own
         best, cost = w, own
         if bare != w and self.count(bare) >= seen:
             best, cost = bare, self.cost(bare)
         options = [(n, x) for x, n in self.looks.get(skeleton(bare), ()) if x != bare.lower() and abs(len(x) - len(bare)) <= 3]
-        if not options and bare.islower() and seen < 3 and not digits:
+        if not options and bare.islower() and not digits:
             options = [(self.lower.get(x, 0), x) for x in self._undo(bare)]
         n, found = max(options, default=(0, ""))
         if n >= 3 and n >= 20 * max(seen, self.count(bare) if bare != w else 0):
@@ -170,7 +173,7 @@ class Decoder:
                 options.append((c + 0.1, got, True))
         if marked and not any(self.count(w) for _, w, _ in options):
             names = a[:1].isupper() and b[:1].isupper() and a[1:].islower() and len(a) > 3
-            whole = f"{a}-{b}" if names or (self.count(a) >= 20 and self.count(b) >= 20 and len(a) > 2 and len(b) > 2) else a + b
+            whole = f"{a}-{b}" if names or (self.count(a) >= self.common and self.count(b) >= self.common and len(a) > 2 and len(b) > 2) else a + b
             fixed = [x for x in options if x[2]]
             if not fixed:
                 return whole, self.cost(whole), False
@@ -336,13 +339,11 @@ class Repairer:
                     if m and nxt and not m[0].isdigit():
                         tail = (m.start(), m[0], nxt[0], True)
                 elif len(following) > 1 or pos + 2 < len(tokens):
-                    n = memo.get(last, 0)
-                    if n is not None or count(last) < 3:  # the commonest case, a known word, is left at once
-                        m, nxt = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
-                        if m and nxt and nxt[0][0].islower() and count(m[0]) < 3 and (count(nxt[0]) < 3 or len(m[0]) < 3):
-                            whole = count(m[0] + nxt[0])
-                            if whole >= 5 and whole > 50 * count(m[0]):
-                                tail = (m.start(), m[0], nxt[0], False)
+                    m, nxt = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
+                    if m and nxt and nxt[0][0].islower():
+                        whole = count(m[0] + nxt[0])
+                        if whole >= 5 and whole > 50 * count(m[0]) and (whole > 50 * count(nxt[0]) or len(m[0]) < 3):
+                            tail = (m.start(), m[0], nxt[0], False)
             out: list[str] = []
             for w in own[:-1] if tail else own:
                 got = memo.get(w, 0)

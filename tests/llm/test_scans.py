@@ -43,3 +43,12 @@ def test_clean_text_stays(spark):
     got = scans.repair_documents(docs).collect()
     assert len(got) == 7 and {r.key for r in got} == {"a", "e"} and all(not r.changes for r in got)
     assert scans.repair_documents(docs.limit(0)).count() == 0
+
+
+def test_readings_do_not_depend_on_the_size_of_the_corpus():
+    words = {"steps": 4000, "stcps": 8, "kernel": 9000, "kerncl": 2, "measurement": 3000, "mea": 2, "surement": 2, "the": 50_000, "tables": 20, "alpha": 60, "omega": 60}
+    text = "the stcps the kerncl the mea\nsurement the alpha-\nomega the tables the steps"
+    want = [("fix", "steps"), ("fix", "kernel"), ("join", "measurement"), ("join", "alpha-omega")]
+    for times in (1, 10, 1000):
+        d = scans.Decoder({w: n * times for w, n in words.items()})
+        assert scans.repair(text, None, Counter(), d)[0] == want
