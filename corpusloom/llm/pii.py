@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize
 
-#: Most texts that the shape model of surnames and the given names are learned from.
+#: About how many texts the shape model of surnames is learned from.
 SHAPE_TEXTS = 5_000
 
 # Words around personal information, in English, German, French and Spanish.
@@ -117,31 +117,77 @@ class Shape:
         return len(w) > 3 and self.score(w) > self.middle
 
 
-def learn_shape(texts: list[str], given: set[str]) -> tuple[Shape, set[str]]:
-    """The surname shape model and the given names seen in greetings, from texts and known given names."""
-    yes, no, learned, lower = Counter(), Counter(), Counter(), Counter()
-    after = re.compile(rf"\b({_U}[a-zß-ÿ]+) (?:{_U}\. )?({_U}[a-zß-ÿ]{{4,}})\b")
-    greet = re.compile(rf"^(?:{'|'.join(GREETINGS.split())}) ({_U}[a-zß-ÿ]+),", re.M)
-    for t in texts:
-        t = EMAIL.sub(" ", t)
-        for m in after.finditer(t):
-            if m[1].lower() in given:
-                yes[m[2].lower()] += 1
-        for m in greet.finditer(t):
-            learned[m[1].lower()] += 1
-        lower.update(re.findall(r"\b[a-zß-ÿ]{2,}\b", t))
-        no.update(w.lower() for w in re.findall(r"(?:^|[.!?] )([A-Z][a-z]{3,}) [a-z]", t))
+_PAIR = re.compile(rf"\b({_U}[a-zß-ÿ]+) (?:{_U}\. )?({_U}[a-zß-ÿ]{{4,}})\b")
+_GREETED = re.compile(rf"^(?:{'|'.join(GREETINGS.split())}) ({_U}[a-zß-ÿ]+),", re.M)
+_SMALL, _BEGINS = re.compile(r"\b[a-zß-ÿ]{2,}\b"), re.compile(r"(?:^|[.!?] )([A-Z][a-z]{3,}) [a-z]")
+
+
+def count_around_names(rows: DataFrame) -> DataFrame:
+    """(kind, word, following, n): what names are learned from, counted over whole texts of rows (text, sampled).
+
+    Kinds are greeted (words after a greeting), pair (capital words and the one that follows) and small (words in small letters) of all texts;
+    small, pair and begins (first words of sentences) of the sampled ones are counted again with the prefix s_, for the shape model.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, Counter] = defaultdict(Counter)
+
+        def rows_of() -> pd.DataFrame:
+            out = [(k, *(w if isinstance(w, tuple) else (w, "")), n) for k, own in found.items() for w, n in own.items()]
+            found.clear()
+            return pd.DataFrame([(k, x.lower(), y.lower(), n) for k, x, y, n in out], columns=["kind", "word", "following", "n"])
+
+        for b in batches:
+            for t, sampled in zip(b.text, b.sampled, strict=True):
+                if MAYBE_EMAIL.search(t):
+                    t = EMAIL.sub(" ", t)
+                pairs, small = _PAIR.findall(t), _SMALL.findall(t)
+                found["pair"].update(pairs)
+                found["small"].update(small)
+                found["greeted"].update(_GREETED.findall(t))
+                if sampled:
+                    found["s_pair"].update(pairs)
+                    found["s_small"].update(small)
+                    found["s_begins"].update(_BEGINS.findall(t))
+                if sum(map(len, found.values())) > 200_000:
+                    yield rows_of()
+        yield rows_of()
+
+    counts = rows.select("text", "sampled").mapInPandas(count, "kind string, word string, following string, n long")
+    return materialize(counts.groupBy("kind", "word", "following").agg(F.sum("n").alias("n")), "names")
+
+
+def learn_shape(counts: DataFrame, given: set[str]) -> Shape:
+    """The surname shape model, from the counts of the sampled texts and known given names."""
+    yes, no, lower = Counter(), Counter(), Counter()
+    known = F.col("word").isin(sorted(given)) if given else F.lit(False)
+    for r in counts.where(F.col("kind").isin("s_small", "s_begins") | (F.col("kind") == "s_pair") & known).collect():
+        if r.kind == "s_pair":
+            yes[r.following] += r.n
+        else:
+            (lower if r.kind == "s_small" else no)[r.word] += r.n
     no.update({w: n for w, n in lower.items() if n >= 3})
     yes = Counter({w: n for w, n in yes.items() if lower[w] <= 2 * n})
-    shape = Shape(set(yes), set(no))
-    stands: dict[str, set[str]] = defaultdict(set)  # capital words and the surnames after them
-    for t in texts:
-        for m in after.finditer(t):
-            if shape(m[2]):
-                stands[m[1].lower()].add(m[2].lower())
-    learned.update({w: len(s) for w, s in stands.items() if len(s) >= 5})
+    return Shape(set(yes), set(no))
+
+
+def learn_given(counts: DataFrame, shape: Shape) -> set[str]:
+    """Given names over all texts: words that are greeted, or before at least five surnames and mostly before surnames; not more often in small letters."""
+    sent = counts.sparkSession.sparkContext.broadcast(shape)
+
+    @F.pandas_udf("boolean")
+    def like_surname(words: pd.Series) -> pd.Series:
+        return pd.Series([sent.value(w) for w in words], dtype=bool)
+
+    def total(kind: str, name: str) -> DataFrame:
+        return counts.where(F.col("kind") == kind).select("word", F.col("n").alias(name))
+
+    pairs = counts.where("kind = 'pair'").withColumn("like", like_surname("following")).groupBy("word")
+    pairs = pairs.agg(F.sum(F.col("like").cast("int")).alias("surnames"), F.sum(F.when(F.col("like"), F.col("n"))).alias("uses"), F.sum("n").alias("followed"))
+    stands = pairs.where("surnames >= 5 and 2 * uses >= followed").select("word", "uses")
+    found = total("greeted", "greeted").join(stands, "word", "full").join(total("small", "small"), "word", "left").fillna(0)
     cues = {"name", "names"} | {x.lower().strip(".,=:") for x in [*f"{TITLES} {GREETINGS} {CUES}".split(), *" ".join(ADDRESS_HINTS).split()]}
-    return shape, {w for w, n in learned.items() if lower[w] <= n and w not in cues}
+    return {r.word for r in found.where("small <= greeted + uses").collect() if r.word not in cues}
 
 
 class Finder:
@@ -445,18 +491,17 @@ def find_spans(docs: DataFrame, given_names: DataFrame, id_column: str = "doc_id
 
     Kinds are EMAIL, PHONE, ID, ADDRESS and NAME; value is text[start:end] as it stands. given_names is (formal, short_form). Null and
     empty texts give no rows; a row that repeats gives its spans again; the whole text is read whatever its length. The shape of
-    surnames is learned from a hash sample of at most shape_texts texts; votes are counted over all texts.
+    surnames is learned from a hash sample of about shape_texts whole texts; further given names and votes are counted over all texts.
     """
     spark = docs.sparkSession
     given = {plain(x) for r in given_names.select("formal", "short_form").collect() for x in r if x}  # a fixed table of some dozens
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text != ''")
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a single small file
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    total = rows.count()
-    share = max(1, math.ceil(total / shape_texts))
-    sample = [r.text for r in rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.substring("text", 1, 20_000).alias("text")).take(2 * shape_texts)] if total else []
-    shape, learned = learn_shape(sample, given)
-    sent = spark.sparkContext.broadcast((shape, given | learned))
+    share = max(1, math.ceil(rows.count() / shape_texts))
+    counts = count_around_names(rows.withColumn("sampled", F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0))
+    shape = learn_shape(counts, given)
+    sent = spark.sparkContext.broadcast((shape, given | learn_given(counts, shape)))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(*sent.value)

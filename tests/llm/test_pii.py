@@ -51,3 +51,12 @@ def test_votes_are_weighed():
     assert post["++"] > 0.9 and post["+0"] > 0.5 > post["0-"]
     score = pii.train_classifier({"++": 50, "0-": 60}, {"++": 0.99, "0-": 0.01})
     assert score["++"] > 0.9 > 0.1 > score["0-"]
+
+
+def test_given_names_are_learned_from_all_whole_texts(spark):
+    rows = [*enumerate(texts()), (900, "the step holds. " * 2000 + "\nDear Ivo,\n\nthe step holds.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame(GIVEN, "formal string, short_form string")
+    for most in (5_000, 30):  # every text in the sample of the shape model, or about half of them
+        got = pii.find_spans(docs, given, shape_texts=most).where("kind = 'NAME' and doc_id = 900").collect()
+        assert [r.value for r in got] == ["Ivo"]
