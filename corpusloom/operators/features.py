@@ -106,6 +106,56 @@ def agglomerate(items: DataFrame, threshold: float, collection: str = "collectio
     return items.select(collection, "key", "vec").groupBy(collection).applyInPandas(run, f"{collection} {kind}, key string, cluster int")
 
 
+def link_by_sums(x: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest row of each row's cluster: average linkage on cosine distance of unit rows, merged while below threshold.
+
+    The mean distance of two clusters follows from the sums of their rows, so nearest-neighbour chains need no matrix of n * n.
+    """
+    parent, ids = np.arange(len(x)), np.arange(len(x))
+    sums, size, alive = x.copy(), np.ones(len(x)), np.ones(len(x), bool)
+    chain: list[int] = []
+    while alive.any():
+        if not chain:
+            live = np.flatnonzero(alive)
+            if 2 * len(live) < len(alive):
+                ids, sums, size, alive = ids[live], sums[live], size[live], alive[live]
+            chain = [int(alive.argmax())]
+        i = chain[-1]
+        d = np.clip(1 - sums @ sums[i] / (size * size[i]), 0, None)
+        d[~alive] = d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[j] + 1e-12:  # rounding must not lead the chain in a circle
+            j = chain[-2]
+        if not d[j] < threshold:  # nothing comes nearer by later merges
+            alive[chain.pop()] = False
+        elif len(chain) > 1 and j == chain[-2]:
+            chain = chain[:-2]
+            i, j = (i, j) if ids[i] < ids[j] else (j, i)
+            parent[ids[j]] = ids[i]
+            sums[i] += sums[j]
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    for v in range(len(x)):
+        parent[v] = parent[parent[v]]
+    return parent
+
+
+def agglomerate_whole(items: DataFrame, threshold: float, collection: str = "collection") -> DataFrame:
+    """What agglomerate gives, for collections of any size: one is one task whose memory grows with its rows and whose time with their square."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("key", kind="stable")
+        x = np.stack(t.vec.to_numpy()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        _, names = np.unique(link_by_sums(x, threshold), return_inverse=True)
+        return pd.DataFrame({collection: t[collection], "key": t.key, "cluster": names})
+
+    kind = items.schema[collection].dataType.simpleString()
+    return items.select(collection, "key", "vec").groupBy(collection).applyInPandas(run, f"{collection} {kind}, key string, cluster int")
+
+
 def label_clusters(members: DataFrame, keywords: DataFrame, group: tuple[str, ...] = ("cluster",), top: int = 3) -> DataFrame:
     """(group, label, top_keywords): keywords held by most members, then by the greatest share inside, then alphabetic; `unlabeled` without any.
 

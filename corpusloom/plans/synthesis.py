@@ -93,10 +93,8 @@ SEED = "m AS (SELECT key, (row_number() OVER (ORDER BY key) - 1)::INT AS i FROM
 @query()
 def agglomerative(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "paper_hit").select("topic_id", T.paper_key("arxiv_id", "latest_version").alias("key")).distinct()
-    w = Window.partitionBy("topic_id").orderBy("key")
     items = hits.join(R.clean_vectors(table(spark, d, "feature_matrix")), "key")
-    items = items.withColumn("collection", F.concat_ws("-", "topic_id", F.floor((F.row_number().over(w) - 1) / 1000).cast("string")))
-    return V.agglomerate(items, 0.4)
+    return V.agglomerate_whole(items.withColumn("collection", F.col("topic_id").cast("string")), 0.4)
 
 
 LABELLED = """c AS (SELECT cluster_id, label, paper_keys, top_keywords, size FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY built_at) AS r FROM cluster_assignment) WHERE r = 1),

@@ -298,3 +298,18 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
 def test_run_budgets(spark):
     r = spark.createDataFrame([("r", 1, 40, 3, 100), ("r", 2, 40, 9, 900), ("r", 3, 40, 9, 900)], "run_id string, at int, tokens int, max_attempts int, max_tokens int")
     assert [x.allowed for x in Q.run_budgets(r).orderBy("at").collect()] == [True, True, False]
+
+
+def test_agglomerative_joins_papers_of_whole_topics(spark, tmp_path):
+    from corpusloom.plans import synthesis
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    x = base[np.arange(1200) % 60] + 0.35 * rng.normal(size=(1200, 16))
+    ids = [f"{2001 + i // 100}.{i:05d}" for i in range(1200)]
+    spark.createDataFrame([(1, k, "v1") for k in ids], "topic_id int, arxiv_id string, latest_version string").write.parquet(f"{tmp_path}/paper_hit.parquet")
+    spark.createDataFrame([(f"{k}v1", v.tolist()) for k, v in zip(ids, x, strict=True)], "paper_key string, matrix array<float>").write.parquet(f"{tmp_path}/feature_matrix.parquet")
+    got = {r.key: r.cluster for r in synthesis.agglomerative(spark, str(tmp_path)).collect()}
+    items = spark.createDataFrame([("1", f"{k}v1", v.tolist()) for k, v in zip(ids, x, strict=True)], "collection string, key string, vec array<float>")
+    assert got == {r.key: r.cluster for r in V.agglomerate(items, 0.4).collect()} and len(got) == 1200
+    assert got[f"{ids[0]}v1"] == got[f"{ids[1140]}v1"]
