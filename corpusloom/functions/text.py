@@ -17,8 +17,8 @@ HEADING_KINDS = [
 ]
 #: Reading order of kinds under a budget.
 HEADING_PRIORITY = {"always": 0, "method": 1, "results": 2, "limits": 3, "related": 4, "other": 5, "appendix": 6, "biblio": 7}
-#: How names inside formulas and file systems are told apart: characters of a magic number, as hex.
-MAGIC = [("pdf", "25504446"), ("gzip", "1F8B")]
+# Signatures of files by kind, as kind, place of the first byte from 1, bytes.
+SIGNATURES = [("pdf", 1, b"%PDF"), ("gzip", 1, b"\x1f\x8b"), ("tar", 258, b"ustar")]
 
 
 def _col(x) -> Column:
@@ -147,15 +147,15 @@ def retry_seconds(header, now) -> Column:
 
 
 def sniff(content) -> Column:
-    """Kind of a payload by its first bytes: pdf, gzip, tar, html, tex or unknown."""
+    """Kind of a payload by its first bytes: pdf, gzip, tar, html, tex (a backslash after white space) or unknown; null for null."""
     c = _col(content).cast("binary")
-    head = F.lower(F.try_to_binary(F.hex(F.substring(c, 1, 256)), F.lit("hex")).cast("string"))
-    out = F.when(F.octet_length(c) == 0, "unknown")
-    for kind, magic in MAGIC:
-        out = out.when(F.hex(F.substring(c, 1, len(magic) // 2)) == magic, kind)
-    out = out.when(F.hex(F.substring(c, 258, 5)) == "7573746172", "tar")
-    out = out.when(F.contains(head, F.lit("<html")) | F.startswith(F.ltrim(head), F.lit("<!doctype")), "html")
-    return out.when(c.cast("string").rlike(r"\\(documentclass|begin|section|documentstyle)"), "tex").otherwise("unknown")
+    out = F.when(c.isNull(), F.lit(None).cast("string"))
+    for kind, at, signature in SIGNATURES:
+        out = out.when(F.substring(c, at, len(signature)) == F.lit(signature), kind)
+    head = F.lower(F.decode(F.substring(c, 1, 256), "ISO-8859-1"))
+    blanks = r"^[ \t\n\r\x0b\f]*"
+    out = out.when(head.rlike(blanks + "<!doctype") | F.contains(head, F.lit("<html")), "html")
+    return out.when(F.decode(c, "ISO-8859-1").rlike(blanks + r"\\"), "tex").otherwise("unknown")
 
 
 def redact(x, secrets: list[str]) -> Column:

@@ -59,7 +59,7 @@ def chunks(df: DataFrame, order: list, n: int, group: list[str] | None = None, n
         return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / n).cast("int"))
     from corpusloom.sources.corpus import number_rows
 
-    return number_rows(df, order[0], n).withColumnRenamed("shard", name).withColumn(name, F.col(name).cast("int")).drop("row_id")
+    return number_rows(df, *order, shard_rows=n).withColumnRenamed("shard", name).withColumn(name, F.col(name).cast("int")).drop("row_id")
 
 
 def bibliography(keys: DataFrame) -> DataFrame:

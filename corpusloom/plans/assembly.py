@@ -63,7 +63,7 @@ def snapshot_etl(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) AS row_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT *, row_id // 100 AS shard, row_id % 100 AS i, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
 SELECT shard::BIGINT AS shard, count(*) AS count, min(len(v))::INT AS min_dim, max(len(v))::INT AS max_dim, round(min(norm) FILTER (WHERE i < 32), 6) AS min_norm, round(avg(norm) FILTER (WHERE i < 32), 6) AS mean_norm, round(max(norm) FILTER (WHERE i < 32), 6) AS max_norm FROM s GROUP BY 1""")
 def shard_validation(spark: SparkSession, d: str) -> DataFrame:
-    e = C.number_rows(table(spark, d, "embeddings").withColumnRenamed("embedding", "vec"), "vec_id", 100)
+    e = C.number_rows(table(spark, d, "embeddings").withColumnRenamed("embedding", "vec"), "vec_id", shard_rows=100)
     v = C.validate_shards(e)
     return v.select(F.col("shard").cast("long").alias("shard"), "count", "min_dim", "max_dim", *[F.round(c, 6).alias(c) for c in ("min_norm", "mean_norm", "max_norm")])
 

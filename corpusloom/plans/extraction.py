@@ -130,10 +130,17 @@ def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
     return X.locate_quotes(q, s).select("key", "quote_no", "quote", "sec_no", "found")
 
 
-@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 'unknown' WHEN text LIKE '%PDF%' AND left(text, 4) = '%PDF' THEN 'pdf' WHEN contains(lower(left(text, 256)), '<html') OR starts_with(ltrim(lower(left(text, 256))), '<!doctype') THEN 'html'
-WHEN regexp_matches(text, '\\\\(documentclass|begin|section|documentstyle)') THEN 'tex' ELSE 'unknown' END AS kind FROM documents WHERE text IS NOT NULL""")
+# Beginnings put before every text, so that each rule has rows.
+BEGINNINGS = {"plain": "", "page": "<!DOCTYPE html>", "late": "x <HTML>", "tex": " \n\\", "inside": "see \\section", "paper": "%PDF-1.5 "}
+
+
+@query("WITH p AS (SELECT doc_id, form, pre || text AS t FROM documents, (VALUES ('plain', ''), ('page', '<!DOCTYPE html>'), ('late', 'x <HTML>'), ('tex', ' ' || chr(10) || chr(92)), ('inside', 'see ' || chr(92) || 'section'), ('paper', '%PDF-1.5 ')) v(form, pre) WHERE text IS NOT NULL) "
+       "SELECT doc_id, form, CASE WHEN starts_with(t, '%PDF') THEN 'pdf' WHEN starts_with(ltrim(lower(left(t, 200)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '<!doctype') OR contains(lower(left(t, 200)), '<html') THEN 'html' "
+       "WHEN starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(92)) THEN 'tex' ELSE 'unknown' END AS kind FROM p")
 def sniff_kind(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.sniff("text").alias("kind"))
+    forms = F.explode(F.create_map(*[F.lit(x) for kv in BEGINNINGS.items() for x in kv])).alias("form", "begin")
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", forms)
+    return t.select("doc_id", "form", T.sniff(F.concat("begin", "text")).alias("kind"))
 
 
 @query("""SELECT doc_id, (octet_length(encode(text)) + 64)::INT AS tokens, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(left(text, 120), ' [^ ]*$', '') END AS short,

@@ -11,6 +11,7 @@ from corpusloom.operators import identity as I
 from corpusloom.operators import retrieval as R
 from corpusloom.plans.base import SQL_VECTORS, query, sql_core, sql_format_version, sql_key, table
 from corpusloom.plans.extraction import DOCS, docs
+from corpusloom.sources.corpus import number_rows
 
 VERSION_NO = f"coalesce(try_cast(regexp_extract({sql_format_version('version')}, '^v(\\d+)$', 1) AS INT), 0)"
 
@@ -18,8 +19,7 @@ VERSION_NO = f"coalesce(try_cast(regexp_extract({sql_format_version('version')},
 def records(spark: SparkSession, d: str) -> DataFrame:
     """paper_doc as records of an extraction: rows numbered, some skipped or without a method."""
     p = table(spark, d, "paper_doc")
-    w = Window.orderBy("arxiv_id", "version", "parsed_at", "source_kind")
-    p = p.withColumn("idx", F.row_number().over(w) - 1)
+    p = number_rows(p, "arxiv_id", "version", "parsed_at", "source_kind").withColumn("idx", F.col("row_id").cast("int"))
     return p.select("idx", T.paper_key("arxiv_id", "version").alias("key"), T.id_core("arxiv_id").alias("core"), "version", F.when(F.col("source_kind").isNull(), "skipped").when(F.col("source_kind") == "pdf", "degraded").otherwise("ok").alias("status"), F.col("abstract").alias("method"), F.lit("").alias("error"))
 
 
@@ -134,7 +134,5 @@ def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_VECTORS}, {SEED} SELECT key, floor(i / 1000)::INT AS shard, i AS row_id, len(v)::INT AS dim FROM m JOIN vec USING (key)")
 def shard_rows(spark: SparkSession, d: str) -> DataFrame:
-    from corpusloom.sources.corpus import number_rows
-
     v = R.clean_vectors(table(spark, d, "feature_matrix"))
-    return number_rows(v, "key", 1000).select("key", F.col("shard").cast("int").alias("shard"), F.col("row_id").cast("int").alias("row_id"), F.size("vec").alias("dim"))
+    return number_rows(v, "key", shard_rows=1000).select("key", F.col("shard").cast("int").alias("shard"), F.col("row_id").cast("int").alias("row_id"), F.size("vec").alias("dim"))

@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from corpusloom.functions import text as T
+from corpusloom.sources.staging import materialize
 
 #: Schema of a raw record of a metadata snapshot.
 RAW = S.StructType([S.StructField(c, S.StringType()) for c in ("id", "title", "abstract", "authors", "categories", "doi", "created", "update_date")])
 
 
-def number_rows(df: DataFrame, order: str, shard_rows: int = 10_000) -> DataFrame:
-    """df with row_id from 0 in the order of a column without ties, and shard. No window over the whole table: ranges are sorted side by side,
-    and each begins at the number of rows in the ranges before it."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    parts = df.repartitionByRange(n, order).withColumn("part", F.spark_partition_id())
-    low = parts.groupBy("part").agg(F.count("*").alias("m"), F.min(order).alias("low"))  # one row per partition
-    start = low.withColumn("start", F.coalesce(F.sum("m").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = parts.join(F.broadcast(start.select("part", "start")), "part")
-    rows = rows.withColumn("row_id", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).drop("part", "start")
-    return rows.withColumn("shard", F.floor(F.col("row_id") / shard_rows))
+def number_rows(df: DataFrame, *order, shard_rows: int = 10_000) -> DataFrame:
+    """df with row_id from 0 in the order of columns, and shard. Rows that tie in all of them are numbered in any order.
+
+    Ranges are sorted side by side and written once with their own numbers, so that every later read sees the same rows in the same ranges; each
+    range then begins at the number of rows in the ranges before it. Only one row per range reaches a single task.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(ranges.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"), "ranges")
+    held = rows.groupBy("_part").agg(F.count("*").alias("_held"))
+    start = held.select("_part", F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    numbered = rows.join(F.broadcast(start), "_part").withColumn("row_id", F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+    return numbered.withColumn("shard", F.floor(F.col("row_id") / shard_rows))
 
 
 def write_corpus(df: DataFrame, path: str, order: str, shard_rows: int = 10_000, settings: dict | None = None) -> None:
     """Write df as a corpus: Parquet partitioned by shard, and a manifest that names every shard with its rows."""
-    numbered = number_rows(df, order, shard_rows)
+    numbered = number_rows(df, order, shard_rows=shard_rows)
     numbered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows")
     spark = df.sparkSession
     rows = spark.read.parquet(f"{path}/rows")

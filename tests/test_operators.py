@@ -16,6 +16,7 @@ from corpusloom.operators.expansion import model_queries
 from corpusloom.sources import corpus as C
 from corpusloom.sources import papers as P
 from corpusloom.streaming import quota as Q
+from tests.test_staging import stop_after
 
 
 @pytest.fixture(scope="module")
@@ -266,20 +267,20 @@ def test_archives_and_tex(spark):
 
 def test_quota_replay_and_stream(spark, tmp_path):
     q = Q.Quota(rpm=5, tpm=100, rpd=50, safety=0.8, min_interval_s=0)
-    a = Q.Admission(q)
+    a = Q.Ledger(q)
     assert a.ask(1000.0, 81)[0] == "request_exceeds_token_window"
     assert a.ask(1000.0, 10) == ("admitted", 1000.0) and a.ask(1001.0, 10) == ("deferred", 1015.0)
     assert [a.ask(t, 10)[0] for t in (1015.0, 1030.0, 1045.0)] == ["admitted"] * 3 and a.ask(1060.0, 60) == ("deferred", 1075.0)
     a.report(1060.0, "error")
     a.report(1060.0, "error")
-    assert a.cooldown == 1120.0
+    assert a.closed_until == 1120.0
     rows = [("g", f"2024-01-01 00:{i // 4:02d}:{15 * (i % 4):02d}", 30.0) for i in range(20)] + [("h", "2024-01-01 00:00:00", None)]
     ev = spark.createDataFrame(rows, "grp string, ts string, tokens double").selectExpr("grp", "to_timestamp(ts) AS ts", "tokens")
     batch = {(r.grp, r["at"]): r.decision for r in Q.admit(ev, q).collect()}
     ev.coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = Q.admit_stream(spark.readStream.schema(ev.schema).parquet(f"file://{tmp_path}/in"), q)
-    run = stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").start()
+    stop_after(run, 1)
     live = {(r.grp, r["at"]): r.decision for r in spark.table("admitted").collect()}
     assert live == batch and set(batch.values()) == {"admitted", "deferred"}
 
@@ -296,8 +297,15 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_run_budgets(spark):
-    r = spark.createDataFrame([("r", 1, 40, 3, 100), ("r", 2, 40, 9, 900), ("r", 3, 40, 9, 900)], "run_id string, at int, tokens int, max_attempts int, max_tokens int")
-    assert [x.allowed for x in Q.run_budgets(r).orderBy("at").collect()] == [True, True, False]
+    schema = "run_id string, parent_id string, at double, tokens long, max_attempts long, max_tokens long, deadline_s double"
+    r = spark.createDataFrame([("r", None, 1.0, 40, 3, 100, 60.0), ("r", None, 2.0, 40, 9, 900, 600.0), ("r", None, 3.0, 40, 9, 900, 600.0), ("r", None, 61.0, 1, 9, 900, 600.0)], schema)
+    assert [x.decision for x in Q.run_budgets(r).orderBy("at").collect()] == ["allowed", "allowed", "run_budget_exhausted", "run_deadline"]
+    tree = [("top", None, 0.0, 1, 3, 100, 1e6), ("a", "top", 1.0, 1, 9, 100, 1e6), ("b", "a", 2.0, 1, 9, 100, 1e6), ("c", "top", 3.0, 1, 9, 100, 1e6), ("free", None, 3.0, 1, 9, 100, 1e6)]
+    got = {x.run_id: x.decision for x in Q.run_budgets(spark.createDataFrame(tree, schema)).collect()}
+    assert got == {"top": "allowed", "a": "allowed", "b": "allowed", "c": "run_budget_exhausted", "free": "allowed"}
+    assert Q.run_budgets(r.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        Q.run_budgets(spark.createDataFrame([("x", "y", 0.0, 1, 1, 1, 1.0), ("y", "x", 0.0, 1, 1, 1, 1.0)], schema)).count()
 
 
 def test_agglomerative_joins_papers_of_whole_topics(spark, tmp_path):
