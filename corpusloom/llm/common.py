@@ -2,45 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it again.
 
-    Cuts the lineage and survives the loss of any executor. The table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone already
-        pass
+from corpusloom.sources.staging import materialize
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -69,10 +35,4 @@ def list_column(rows: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), values)
 
 
-def table_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches) if batches else None
-
-
-def norm_key(c: str):
-    return F.col(c).cast("string")
+__all__ = ["list_column", "materialize", "parallelism", "spread", "vectors_of"]

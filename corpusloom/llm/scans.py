@@ -1,9 +1,11 @@
 """Repairing text that comes from scanned or laid-out pages (problem 3).
 
-Method: lines of the page (running heads, page numbers) are recognised and dropped; what is left is read as one stream of
-characters without line ends. A dynamic program decodes the stream into words of a vocabulary counted over the whole corpus:
-a word may be one token, a token with misread characters, two tokens around a line end (with or without its hyphen), or half
-of a token that lost its blank. Another one chooses the paragraphs.
+Method: lines of the page (running heads, page numbers) are recognised and dropped; what is left is one stream of characters, in which blanks,
+line ends and hyphens at line ends are only signs that can be kept or dropped at a cost. A lattice over the positions of the stream holds an arc for
+every vocabulary word that can be read there: along a trie, with characters misread for each other, over dropped signs, and after blanks that were lost;
+unknown words are arcs too. The cheapest path (Viterbi) is the text. Costs are negative logarithms of the words' shares of all words, so
+readings don't depend on the size of the corpus. Where two neighbouring tokens are words of the vocabulary and no arc over the sign
+between them can be cheaper, the lattice is cut there, so that only doubtful stretches are decoded. Another dynamic program chooses the paragraphs.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,19 +21,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words of the decoder's vocabulary, by count over all texts; a bound on what is broadcast.
-VOCABULARY = 300_000
-
-#: Least share of all words that makes the halves of an unknown compound words of their own.
-COMMON = 1e-5
-
-# Characters that are misread for each other, pairs first; and what one may have been besides.
-SAME_SHAPE = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "n")]
-_DIGITS = str.maketrans("|!105698", "lllosbgb")
-_SAME = str.maketrans("lebfuq", "ichtng")
-CONFUSIONS = {"m": ["rn", "ni", "in", "nn"], "h": ["li", "b"], "d": ["cl"], "n": ["ri", "u"], "w": ["vv"], "y": ["v"], "v": ["y"], "a": ["o"], "o": ["a", "c", "e"], "k": ["lc"], "t": ["l", "f"], "l": ["t", "i"], "c": ["e", "o"], "s": ["a"]}
+from corpusloom.llm.common import materialize
+
+#: Least share of all words that a word of the vocabulary has; shares sum to 1, so at most 1 / LEAST_SHARE words are ever sent.
+LEAST_SHARE = 5e-7
+
+# Costs, in nats. A sign is what stands between two tokens of the stream.
+BLANK, BREAK, MARKED = " ", "\n", "\x02"  # a blank, a line end, a line end after a hyphen
+DROP = {BLANK: 14.0, BREAK: 9.0, MARKED: 0.0}
+LOST_BLANK, KEPT_HYPHEN, EDIT, MORE_EDITS, ACCENT, INNER_CAPITAL = 5.0, 2.0, 5.0, 2.5, 1.0, 16.0
+UNKNOWN, UNKNOWN_LETTER = 13.0, 1.2
+#: Most places of a word that are misread.
+MOST_EDITS = 2
+#: A word whose cost is below this is so common that no misread word can be meant.
+SURE = 8.0
+#: Words up to this cost are common enough to make two of a pair that could be one.
+COMMON = 10.0
+
+# Characters that are misread for each other, in both directions; characters as they stand with what may have been meant; ligatures.
+SAME_SHAPE = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "n"), ("ii", "u"), ("l", "i"), ("e", "c"), ("b", "h"), ("f", "t"), ("u", "n"), ("q", "g")]
+MEANT = {"m": ["ni", "in", "nn"], "y": ["v"], "v": ["y"], "a": ["o"], "o": ["a", "c", "e"], "k": ["lc"], "t": ["l"], "l": ["t"], "c": ["o"], "s": ["a"], "|": ["l", "i"], "!": ["l", "i"], "1": ["l", "i"], "0": ["o"], "5": ["s"], "6": ["b"], "9": ["g"], "8": ["b"]}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 HYPHENS = "-­‐‑¬"
+STOPS = " \n\x02" + HYPHENS  # what can end a word that isn't split
 
 TOKEN = re.compile(r"[^\W_]+(?:[^\s,.;:?\"()\[\]{}<>@/=+*—–]*[^\W_|])?[|!]?(?:[^\W_]+)?|[|!][^\W_]+")
 WORDS = re.compile(r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*")
@@ -53,12 +66,17 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def skeleton(word: str) -> str:
-    """What is left of a word if characters that are misread for each other count as the same."""
-    word = plain(word).lower().translate(_DIGITS)
+def _confusions() -> dict[str, list[tuple[str, float]]]:
+    out: dict[str, dict[str, float]] = {}
     for a, b in SAME_SHAPE:
-        word = word.replace(a, b)
-    return word.translate(_SAME)
+        out.setdefault(a, {})[b] = out.setdefault(b, {})[a] = EDIT
+    for a, found in MEANT.items():
+        for b in found:
+            out.setdefault(a, {}).setdefault(b, EDIT + 1)
+    return {a: list(found.items()) for a, found in out.items()}
+
+
+CONFUSIONS = _confusions()
 
 
 def count_words(texts: Iterator[str]) -> Counter:
@@ -70,116 +88,167 @@ def count_words(texts: Iterator[str]) -> Counter:
 
 
 class Decoder:
-    """Words out of tokens, by the cheapest reading under the counts of a vocabulary."""
+    """The cheapest reading of a stretch of the stream as words, under the shares of a vocabulary (word -> count)."""
 
-    def __init__(self, vocabulary: dict[str, int], edit_cost: float = 5.0):
-        self.v = vocabulary
-        self.total = math.log(sum(vocabulary.values()) + 1)
-        self.common = COMMON * sum(vocabulary.values())
-        self.edit_cost = edit_cost
+    def __init__(self, vocabulary: dict[str, int], total: int | None = None):
         self.lower: dict[str, int] = {}
         for w, n in vocabulary.items():
             self.lower[w.lower()] = self.lower.get(w.lower(), 0) + n
-        self.memo: dict[str, tuple[str, float]] = {}
+        self.log_total = math.log(max(total or sum(vocabulary.values()), 1))
+        self.words = sorted(self.lower)  # the trie: the words below a prefix are a range
+        self.least = self.log_total - math.log(max(self.lower.values(), default=1))
         self.forms: dict[str, list[tuple[int, str]]] = {}
         for w, n in vocabulary.items():
             self.forms.setdefault(w.lower(), []).append((n, w))
-        self.looks: dict[str, list[tuple[str, int]]] = {}
-        for w, n in self.lower.items():
-            if len(w) > 2 and n >= 3 and plain(w) == w:
-                self.looks.setdefault(skeleton(w), []).append((w, n))
-
-    def count(self, w: str) -> int:
-        n = self.v.get(w, 0)
-        if n or w.islower():
-            return n
-        if w[1:].islower() or w[1:] == "":
-            return self.v.get(w.lower(), 0)
-        if w.isupper():
-            return self.lower.get(w.lower(), 0)
-        return 0
+        self.memo: dict[str, tuple[float, list[tuple[int, int, str, bool]], bool]] = {}
+
+    def known(self, w: str) -> bool:
+        return w.lower() in self.lower
 
     def cost(self, w: str) -> float:
-        """Surprise of a word; unknown ones pay by length, compounds may be read by their parts."""
-        n = self.count(w)
-        if n:
-            return self.total - math.log(n)
-        if "-" in w:
-            parts = [self.count(p) for p in w.split("-")]
-            if all(parts):
-                return 2 + sum(self.total - math.log(p) for p in parts)
-        return self.total + 2 + 0.5 * len(w)
-
-    def read(self, w: str) -> tuple[str, float]:
-        """The cheapest reading of a token as one word, and its cost. A word that is its own best reading comes back as it is."""
-        got = self.memo.get(w)
+        """Surprise of a word; unknown ones pay by length."""
+        n = self.lower.get(w.lower(), 0)
+        u = UNKNOWN + UNKNOWN_LETTER * len(w)
+        return min(self.log_total - math.log(n), u) if n else u
+
+    def read(self, stream: str) -> list[tuple[int, int, str, bool]]:
+        """The arcs (from, to, reading, misread) of the cheapest path over a stream. Signs that the path keeps are arcs of their own: a blank, a line end,
+        or `-` for a hyphen that belongs to a compound; a lost blank is an arc of no length."""
+        got = self.memo.get(stream)
         if got is None:
-            got = self._read(w)
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[w] = got
-        return got
-
-    def _read(self, w: str) -> tuple[str, float]:
-        own = self.cost(w)
-        seen = self.count(w)
-        bare = plain(w)
-        digits = sum(map(str.isdigit, w))
-        if len(bare) < 3 or digits > 2 or digits * 2 > len(w):
-            return w, own
-        best, cost = w, own
-        if bare != w and self.count(bare) >= seen:
-            best, cost = bare, self.cost(bare)
-        options = [(n, x) for x, n in self.looks.get(skeleton(bare), ()) if x != bare.lower() and abs(len(x) - len(bare)) <= 3]
-        if not options and bare.islower() and not digits:
-            options = [(self.lower.get(x, 0), x) for x in self._undo(bare)]
-        n, found = max(options, default=(0, ""))
-        if n >= 3 and n >= 20 * max(seen, self.count(bare) if bare != w else 0):
-            found = self.cased(found, bare)
-            c = self.total - math.log(n) + self.edit_cost
-            if c < cost or digits:
-                best, cost = found, c
-        if best != w and _LETTERS.fullmatch(best):
-            return best, cost
-        if any(c in "|!" for c in w):  # no letter looks like this
-            fixed = bare.replace("|", "l").replace("!", "l")
-            if _LETTERS.fullmatch(fixed):
-                return fixed, self.cost(fixed)
-        return w, own
+            got = self._viterbi(stream, False)
+            if got[2]:  # an unknown word is in it: blanks may be lost
+                got = self._viterbi(stream, True)
+            self.memo[stream] = got
+        return got[1]
+
+    def _viterbi(self, stream: str, split: bool) -> tuple[float, list[tuple[int, int, str, bool]], bool]:
+        end = len(stream)
+        low = stream.lower()
+        if len(low) != end:  # letters that change their number in small letters
+            low = stream
+        best = [math.inf] * (end + 1)
+        back: list[tuple[int, str, bool, bool] | None] = [None] * (end + 1)  # from, reading, misread, after a lost blank
+        best[0] = 0.0
+        for at in range(end):
+            here = best[at]
+            if here == math.inf:
+                continue
+            c = stream[at]
+            if c == BLANK or c == BREAK:
+                if here < best[at + 1]:
+                    best[at + 1], back[at + 1] = here, (at, c, False, False)
+                continue
+            if (c == MARKED or c in HYPHENS) and at:
+                if here + KEPT_HYPHEN < best[at + 1]:
+                    best[at + 1], back[at + 1] = here + KEPT_HYPHEN, (at, "-", False, False)
+                continue
+            inside = at > 0 and stream[at - 1] not in " \n\x02" and stream[at - 1] not in HYPHENS
+            enter = here + (LOST_BLANK if inside else 0.0)
+            if not inside:
+                for to, cost in self._unknown(stream, at):
+                    if here + cost < best[to]:
+                        best[to], back[to] = here + cost, (at, "", False, False)
+            elif enter + self.least >= best[end]:
+                continue
+            for to, word, cost, misread in self._arcs(low, at, best, enter, split):
+                if inside and len(word) < 2:
+                    continue
+                if enter + cost < best[to]:
+                    best[to], back[to] = enter + cost, (at, word, misread, inside)
+        path, at, unknown = [], end, False
+        while at > 0:
+            came, word, misread, lost = back[at]
+            unknown |= not word and stream[came:at].islower()
+            if not word or not misread and word not in (" ", "\n", "-"):  # as it stands, without the signs inside
+                word = "".join(x for x in stream[came:at] if x not in " \n\x02" and x != "­") if not (word and "-" in word and MARKED in stream[came:at]) else stream[came:at].replace(MARKED, "-")
+            elif misread:
+                word = self.cased(word, stream[came:at])
+            path.append((came, at, word, misread))
+            if lost:
+                path.append((came, came, " ", False))
+            at = came
+        return best[end], path[::-1], unknown
+
+    def _unknown(self, stream: str, at: int) -> Iterator[tuple[int, float]]:
+        """Ends and costs of the unknown words that begin at a position: to the end of the token, and on over marked line ends."""
+        to, letters, extra = at, 0, 0.0
+        while to < len(stream):
+            c = stream[to]
+            if c in " \n":
+                break
+            if c == MARKED or c == "-":
+                yield to, UNKNOWN + UNKNOWN_LETTER * letters + extra
+                if c == MARKED and stream[to + 1 : to + 2].isupper() and not stream[at:to].isupper():
+                    extra += INNER_CAPITAL
+                if c == "-":
+                    return
+            else:
+                letters += 1
+            to += 1
+        yield to, UNKNOWN + UNKNOWN_LETTER * letters + extra
+
+    def _arcs(self, low: str, start: int, best: list[float], enter: float, split: bool) -> Iterator[tuple[int, str, float, bool]]:
+        """The vocabulary's words that can be read from a position: (end, word, cost, misread), inside tokens too if they may be split. More misread
+        characters are only tried where one reaches no word to the end; what can't lead to a cheaper path than a known one is left."""
+        words, lower, size, end = self.words, self.lower, len(self.words), len(low)
+        layers: list[list[tuple[int, str, int, float, bool]]] = [[(start, "", 0, 0.0, False)], [], []]
+        rest, whole = enter + self.least, False
+        for edits, todo in enumerate(layers):
+            if whole:
+                break
+            while todo:
+                at, prefix, first, paid, crossed = todo.pop()
+                if rest + paid >= best[end]:
+                    continue
+                if (split or at == end or low[at] in STOPS) and prefix and words[first] == prefix and low[at - 1] not in " \n\x02":
+                    cost = self.log_total - math.log(lower[prefix]) + paid
+                    if enter + cost < best[at]:
+                        whole |= at == end and edits > 0
+                        yield at, prefix, cost, edits > 0
+                if at == end:
+                    continue
+                c = low[at]
+                if c in " \n\x02":
+                    if prefix and not (crossed and c != MARKED):
+                        todo.append((at + 1, prefix, first, paid + DROP[c], True))
+                        if c == MARKED:
+                            p = prefix + "-"
+                            i = bisect_left(words, p, first)
+                            if i < size and words[i].startswith(p):
+                                todo.append((at + 1, p, i, paid, crossed))
+                    continue
+                if c == "­":
+                    todo.append((at + 1, prefix, first, paid, crossed))
+                    continue
+                if edits < MOST_EDITS:
+                    price = MORE_EDITS if edits else 0.0
+                    after = layers[edits + 1]
+                    bare = c if c.isascii() else plain(c)
+                    steps = [(1, m, price or x) for m, x in CONFUSIONS.get(bare, ())] + [(2, m, price or x) for m, x in CONFUSIONS.get(low[at : at + 2] if at + 2 <= end else "", ())]
+                    if bare != c:
+                        steps.append((1, bare, ACCENT))
+                    for k, letters, x in steps:
+                        if rest + paid + x < best[end]:
+                            p = prefix + letters
+                            i = bisect_left(words, p, first)
+                            if i < size and words[i].startswith(p):
+                                after.append((at + k, p, i, paid + x, crossed))
+                p = prefix + c
+                i = bisect_left(words, p, first)
+                if i < size and words[i].startswith(p):
+                    todo.append((at + 1, p, i, paid, crossed))
 
     def cased(self, word: str, like: str) -> str:
         """word with the capitals of its commonest form that begins in the case of like."""
-        first = like[0].isupper()
-        forms = [(n, x) for n, x in self.forms.get(word, ()) if x[0].isupper() == first]
+        first = like[:1].isupper()
+        forms = [(n, x) for n, x in self.forms.get(word, ()) if x[:1].isupper() == first]
         if forms:
             return max(forms)[1]
         return word[0].upper() + word[1:] if first else word
 
-    @staticmethod
-    def _undo(w: str) -> Iterator[str]:
-        for i in range(len(w)):
-            for k in (1, 2, 3):
-                for right in CONFUSIONS.get(w[i : i + k], ()):
-                    if i + k <= len(w):
-                        yield w[:i] + right + w[i + k :]
-
-    def join(self, a: str, b: str, marked: bool) -> tuple[str, float, bool]:
-        """The cheapest word that a at a line's end and b after it make, its cost, and whether characters were misread."""
-        options = []
-        for w in (a + b, f"{a}-{b}") if marked else (a + b,):
-            options.append((self.cost(w) if self.count(w) else self.cost(w) + 1.5 * (a[:1].isupper() and b[:1].isupper() and "-" not in w), w, False))
-            got, c = self.read(w)
-            if got != w:
-                options.append((c + 0.1, got, True))
-        if marked and not any(self.count(w) for _, w, _ in options):
-            names = a[:1].isupper() and b[:1].isupper() and a[1:].islower() and len(a) > 3
-            whole = f"{a}-{b}" if names or (self.count(a) >= self.common and self.count(b) >= self.common and len(a) > 2 and len(b) > 2) else a + b
-            fixed = [x for x in options if x[2]]
-            if not fixed:
-                return whole, self.cost(whole), False
-        c, w, wrong = min(options)
-        return w, c, wrong
-
 
 def repeated_lines(texts: list[str | None]) -> Counter:
     """How often each short line without inner digits stands in a document."""
@@ -264,34 +333,32 @@ def _near(cut: str, title: str) -> bool:
 
 
 def paragraphs(lines: list[str], blank_before: list[bool]) -> list[int]:
-    """The lines that begin a paragraph, by dynamic programming over the costs of breaking or not before each line."""
+    """The lines that begin a paragraph, by dynamic programming over all lines.
+
+    A line begins a paragraph or runs on. Both have a cost by what stands around the line end, and a paragraph of one full line that ends no sentence
+    costs more; so the state is whether the line before began one.
+    """
     n = len(lines)
     if not n:
         return []
     width = max(len(x) for x in lines)
-    cost, came = [0.0] * (n + 1), [0] * (n + 1)
-    joins = [0.0] * n  # cost of running on from the line before
-    breaks = [0.0] * n
+    # cost of the best choices up to a line that runs on, and up to one that begins; with what the line before was
+    runs, begins_ = math.inf, 0.0
+    came: list[tuple[bool, bool]] = [(True, True)]
     for i in range(1, n):
         before, line = lines[i - 1].rstrip(), lines[i]
         ends, begins = before.endswith((".", "!", "?", ":")), line.lstrip()[:1].isupper() or line.lstrip()[:1].isdigit()
         short = len(before) < 0.75 * width
-        joins[i] = 3.0 * blank_before[i] + 1.0 * (ends and short) + 0.5 * (line[:1] in " \t")
-        breaks[i] = 1.5 + 3.0 * (not ends) + 3.0 * (not begins) + 1.0 * (not blank_before[i])
-    run = [0.0]
-    for i in range(1, n):
-        run.append(run[-1] + joins[i])
-    for end in range(1, n + 1):  # a paragraph is lines start..end-1; very long ones cost a little
-        cost[end] = math.inf
-        for start in range(max(0, end - 400), end):
-            c = cost[start] + (breaks[start] if start else 0.0) + run[end - 1] - run[start] + 0.002 * (end - start)
-            if c < cost[end]:
-                cost[end], came[end] = c, start
-    starts = []
-    at = n
-    while at > 0:
-        at = came[at]
-        starts.append(at)
+        join = 3.0 * blank_before[i] + 1.0 * (ends and short) + 0.5 * (line[:1] in " \t")
+        cut = 1.5 + 3.0 * (not ends) + 3.0 * (not begins) + 1.0 * (not blank_before[i])
+        lone = cut + 1.0 * (not ends and not short)
+        came.append((begins_ < runs, begins_ + lone < runs + cut))
+        runs, begins_ = join + min(runs, begins_), min(runs + cut, begins_ + lone)
+    starts, begun = [], begins_ < runs
+    for i in range(n - 1, -1, -1):
+        if begun or i == 0:
+            starts.append(i)
+        begun = came[i][begun]
     return starts[::-1]
 
 
@@ -300,19 +367,55 @@ class Repairer:
 
     def __init__(self, decoder: Decoder):
         self.decoder = decoder
-        self.memo: dict[str, tuple[str, list[str]] | None] = {}
+        self.memo: dict[str, tuple[str, list[str], bool]] = {}
 
-    def token(self, raw: str) -> tuple[str, list[str]] | None:
-        """The token with its words repaired and the repaired words; None if there is nothing to repair."""
-        found, out, at = [], "", 0
+    def token(self, raw: str) -> tuple[str, list[str], bool] | None:
+        """The token read alone: its text, the words that were misread, and whether it may belong to its neighbours. None for a token that is sure."""
+        found, out, at, open_ = [], "", 0, False
+        d = self.decoder
         for m in TOKEN.finditer(raw):
             w = m.group()
-            got = w if w.isdigit() else self.decoder.read(w)[0]
-            if got != w:
-                found.append(got)
-                out += raw[at : m.start()] + got
-                at = m.end()
-        return (out + raw[at:], found) if found else None
+            digits = sum(map(str.isdigit, w))
+            if len(plain(w) if not w.isascii() else w) < 3:
+                open_ |= w.isalpha() and w.islower() and not d.known(w)
+                continue
+            if digits > 2 or digits * 2 > len(w) or digits == 0 and d.cost(w) < SURE:
+                continue
+            arcs = d.read(w)
+            new = "".join(x[2] for x in arcs)
+            if new != w and (not w[0].isupper() or " " not in new):
+                if any(x[3] for x in arcs):
+                    if not _LETTERS.fullmatch(new.replace(" ", "-")):
+                        continue
+                    found += [x for x in new.split(" ") if x not in w]
+                out, at = out + raw[at : m.start()] + new, m.end()
+            elif any(c in "|!" for c in w):  # no letter looks like this
+                fixed = plain(w).replace("|", "l").replace("!", "l")
+                if _LETTERS.fullmatch(fixed):
+                    found.append(fixed)
+                    out, at = out + raw[at : m.start()] + fixed, m.end()
+            else:
+                open_ |= w.isalpha() and w.islower() and d.cost(w) > COMMON
+        return (out + raw[at:], found, open_) if at or open_ else None
+
+    def joint(self, stream: str) -> tuple[str, list[tuple[str, str]]]:
+        """A stretch of tokens read together: its text and the changes it needs."""
+        changes: list[tuple[str, str]] = []
+        words: list[list] = [["", False, False]]  # text, misread, over a line end
+        for a, b, word, misread in self.decoder.read(stream):
+            if word in (BLANK, BREAK):
+                words.append(["", False, False])
+                continue
+            w = words[-1]
+            w[0] += word
+            w[1] |= misread
+            w[2] |= any(c in stream[a:b] for c in (BREAK, MARKED))
+        for text, misread, over in words:
+            if over:
+                changes.append(("join", text))
+            if misread and _LETTERS.fullmatch(text) and text not in stream:
+                changes.append(("fix", text))
+        return " ".join(w[0] for w in words), changes
 
     def section(self, text: str, title: str | None, repeated: Counter, compose: bool = False) -> tuple[list[tuple[str, str]], str]:
         """The changes (kind, item) that a section needs, and its text as continuous paragraphs (empty unless compose)."""
@@ -320,62 +423,105 @@ class Repairer:
         drop = page_lines(lines, title, repeated)
         changes: list[tuple[str, str]] = [("drop", x.strip()) for x, d in zip(lines, drop, strict=True) if d]
         kept = [i for i, d in enumerate(drop) if not d and lines[i].strip()]
-        decoder, memo, count = self.decoder, self.memo, self.decoder.count
+        memo, d = self.memo, self.decoder
         if len(memo) > 300_000:
             memo.clear()
-        tokens = [lines[i].split() for i in kept]
         blank = [False] * len(kept)
         for pos in range(1, len(kept)):
             a, b = kept[pos - 1], kept[pos]
             blank[pos] = b - a > 1 and not any(drop[a + 1 : b])
-        new: list[list[str]] = []
-        for pos, own in enumerate(tokens):
-            tail = None
-            following = tokens[pos + 1] if pos + 1 < len(tokens) and not blank[pos + 1] else None
-            if following and own:
-                last, first = own[-1], following[0]
-                if last[-1] in HYPHENS and len(last) > 1 and (last[-2].isalnum() or last[-2] in "|!"):
-                    m, nxt = _TAIL.search(last.rstrip(HYPHENS)), TOKEN.match(first)
-                    if m and nxt and not m[0].isdigit():
-                        tail = (m.start(), m[0], nxt[0], True)
-                elif len(following) > 1 or pos + 2 < len(tokens):
-                    m, nxt = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
-                    if m and nxt and nxt[0][0].islower():
-                        whole = count(m[0] + nxt[0])
-                        if whole >= 5 and whole > 50 * count(m[0]) and (whole > 50 * count(nxt[0]) or len(m[0]) < 3):
-                            tail = (m.start(), m[0], nxt[0], False)
-            out: list[str] = []
-            for w in own[:-1] if tail else own:
+        # The stream: every token with the sign before it and its line; a token that is sure has no entry in doubt.
+        raws: list[str] = []
+        signs: list[str] = []
+        first_of: list[int] = []  # where each line begins
+        doubt: dict[int, tuple[str, list[str], bool]] = {}
+        for pos, i in enumerate(kept):
+            first_of.append(len(raws))
+            for w in lines[i].split():
                 got = memo.get(w, 0)
                 if got == 0:
                     got = memo[w] = self.token(w)
-                if got is None:
-                    out.append(w)
-                else:
-                    out.append(got[0])
-                    changes += [("fix", x) for x in got[1]]
-            if tail:
-                start, a, b, marked = tail
-                word, _, wrong = decoder.join(a, b, marked)
-                changes.append(("join", word))
-                if wrong:
-                    changes.append(("fix", word))
-                out.append(own[-1][:start] + word + following[0][len(b) :])
-                tokens[pos + 1] = following[1:]
-            new.append(out)
+                if got is not None:
+                    doubt[len(raws)] = got
+                raws.append(w)
+                signs.append(BLANK)
+            signs[first_of[-1]] = "" if blank[pos] or not pos else BREAK
+        bound: dict[int, str] = {}  # places of tokens that are read together with the token before, with the sign
+        for at in first_of[1:]:
+            if signs[at] and (sign := self._line_end(raws[at - 1], raws[at], at, doubt)):
+                bound[at] = sign
+        for at in doubt:
+            for x in (at, at + 1):
+                if 0 < x < len(raws) and signs[x] == BLANK and x not in bound and self._blank(raws[x - 1], raws[x], x, doubt):
+                    bound[x] = BLANK
+        out: dict[int, str] = {}
+        own: dict[int, list[tuple[str, str]]] = {}
+        gone: set[int] = set()
+        done: set[int] = set()
+        for at in sorted(bound):
+            if at in done:
+                continue
+            last = at
+            while last + 1 in bound:
+                last += 1
+            head = _TAIL.search(raws[at - 1].rstrip(HYPHENS) if bound[at] == MARKED else raws[at - 1])
+            tail = TOKEN.match(raws[last])
+            stream = head[0]
+            for x in range(at, last):
+                stream += bound[x] + (raws[x].rstrip(HYPHENS) if bound[x + 1] == MARKED else raws[x])
+            stream += bound[last] + tail[0]
+            done.update(range(at, last + 1))
+            new, found = self.joint(stream)
+            if new != stream.replace(BREAK, BLANK) or found:
+                out[at - 1] = raws[at - 1][: head.start()] + new + raws[last][tail.end() :]
+                gone.update(range(at, last + 1))
+                own[at - 1] = found
+        for at, (new, found, _) in doubt.items():
+            if at not in out and at not in gone:
+                out[at], own[at] = new, [("fix", x) for x in found]
+        changes += [x for at in sorted(own) for x in own[at]]
         if not compose:
             return changes, ""
         starts = paragraphs([lines[i] for i in kept], blank)
-        parts = [" ".join(w for own in new[a:b] for w in own) for a, b in zip(starts, [*starts[1:], len(kept)], strict=True)]
+        edges = [first_of[p] for p in starts] + [len(raws)]
+        parts = [" ".join(out.get(x, raws[x]) for x in range(a, b) if x not in gone) for a, b in zip(edges, edges[1:], strict=False)]
         return changes, "\n\n".join(p for p in parts if p)
 
+    def _line_end(self, last: str, first: str, at: int, doubt: dict) -> str:
+        """The sign of a line end whose tokens are to be read together, empty if the lattice is cut there."""
+        d = self.decoder
+        if last[-1] in HYPHENS and len(last) > 1 and (last[-2].isalnum() or last[-2] in "|!"):
+            m = _TAIL.search(last.rstrip(HYPHENS))
+            return MARKED if m and not m[0].isdigit() and TOKEN.match(first) else ""
+        m, n = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
+        if not m or not n or not n[0][0].islower() or _TAIL.search(last)[0] != m[0] or TOKEN.match(first)[0] != n[0]:
+            return ""
+        a, b = m[0], n[0]
+        whole = d.lower.get((a + b).lower())
+        if whole and d.cost(a + b) + DROP[BREAK] < d.cost(a) + d.cost(b):
+            return BREAK
+        unsure = at in doubt and doubt[at][2] or at - 1 in doubt and doubt[at - 1][2]
+        return BREAK if unsure and not whole else ""
+
+    def _blank(self, left: str, right: str, at: int, doubt: dict) -> bool:
+        """Whether two tokens of a line are to be read together: one may belong to its neighbours, and nothing stands between them."""
+        if not (at in doubt and doubt[at][2] or at - 1 in doubt and doubt[at - 1][2]):
+            return False
+        if not left.isalpha() and not (m := _WORD_TAIL.search(left)) or not right[0].islower() or not (n := _WORD_HEAD.match(right)):
+            return False
+        m = _WORD_TAIL.search(left)
+        return _TAIL.search(left)[0] == m[0] and TOKEN.match(right)[0] == n[0]
+
 
 def repair(text: str, title: str | None, repeated: Counter, decoder: Decoder, compose: bool = False) -> tuple[list[tuple[str, str]], str]:
     return Repairer(decoder).section(text, title, repeated, compose)
 
 
-def vocabulary(docs: DataFrame, sections: str = "sections", most: int = VOCABULARY) -> dict[str, int]:
-    """The commonest words over all sections of all documents, at most `most` of them, with their counts."""
+def vocabulary(docs: DataFrame, sections: str = "sections", least: float = LEAST_SHARE) -> tuple[dict[str, int], int]:
+    """The words over all sections of all documents that have at least the share `least` of all words, with their counts, and the number of all words.
+
+    Words that occur once are left out too: such a word can't be told from a misread one. At most 1 / least words are sent.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -387,9 +533,10 @@ def vocabulary(docs: DataFrame, sections: str = "sections", most: int = VOCABULA
         yield pd.DataFrame(found.items(), columns=["word", "n"])
 
     texts = docs.select(F.transform(sections, lambda s: s.text).alias("texts"))
-    words = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    got = words.orderBy(F.desc("n"), "word").limit(most).toArrow()
-    return dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
+    words = materialize(texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    got = words.where(F.col("n") > max(1.0, least * total)).toArrow()
+    return dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True)), total
 
 
 def repair_documents(docs: DataFrame, scanned: str = "source_kind = 'pdf'", sections: str = "sections", compose: bool = True) -> DataFrame:
@@ -397,14 +544,14 @@ def repair_documents(docs: DataFrame, scanned: str = "source_kind = 'pdf'", sect
 
     docs has key, title and sections (array of structs with text); word counts come from all of its rows. Null or empty sections give
     rows with empty text and no changes; null section lists give no rows; repeated rows repeat. The changes are what p3_found lists:
-    join, fix and drop, in the order of the text.
+    join, fix and drop; those of lines first, the others in the order of the text. Blanks that were lost or put into a word change the text only.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary(docs, sections))
     rows = docs.where(scanned).select("key", "title", F.transform(sections, lambda s: s.text).alias("texts")).where("texts is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(Decoder(sent.value))
+        repairer = Repairer(Decoder(*sent.value))
         for b in batches:
             out = []
             for key, title, texts in zip(b.key, b.title, b.texts, strict=True):

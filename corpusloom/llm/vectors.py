@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import list_column, materialize, parallelism, table_of, vectors_of
+from corpusloom.llm.common import list_column, materialize, vectors_of
 
 #: Most entries of the summary that reaches the driver, whatever the input: 4,096 x dimensions floats.
 SUMMARY_ENTRIES = 4096
@@ -254,4 +254,4 @@ def prepared(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, int]
     return same_length(table)
 
 
-__all__ = ["CFTree", "clean_vectors", "materialize", "parallelism", "prepared", "same_length", "shard_centres", "summarize", "table_of", "to_shards"]
+__all__ = ["CFTree", "clean_vectors", "prepared", "same_length", "shard_centres", "summarize", "to_shards"]

@@ -52,3 +52,41 @@ def test_readings_do_not_depend_on_the_size_of_the_corpus():
     for times in (1, 10, 1000):
         d = scans.Decoder({w: n * times for w, n in words.items()})
         assert scans.repair(text, None, Counter(), d)[0] == want
+
+
+def test_blanks_are_lost_and_found():
+    text = "thedecoder and the de coder although decoderremains effec tive"
+    _, out = scans.repair(text, None, Counter(), decoder(), compose=True)
+    assert out == "the decoder and the decoder although decoder remains effective"
+
+
+def test_misread_letters_over_a_lost_sign():
+    got, out = scans.repair("the dec\nocler and the mea-\nsurernent", None, Counter(), decoder(), compose=True)
+    assert got == [("join", "decoder"), ("fix", "decoder"), ("join", "measurement"), ("fix", "measurement")] and out == "the decoder and the measurement"
+
+
+def test_frequent_misreadings_and_fragments_are_repaired():
+    words = {"the": 600_000, "measurement": 90_000, "rneasurement": 250, "mea": 50, "surement": 50, "of": 300_000, "kernel": 40_000}
+    text = "the rneasurement of the mea\nsurement of the kernel"
+    got, out = scans.repair(text, None, Counter(), scans.Decoder(words), compose=True)
+    assert got == [("fix", "measurement"), ("join", "measurement")] and out == "the measurement of the measurement of the kernel"
+
+
+def test_true_words_stay_apart():
+    words = {"in": 30_000, "put": 900, "input": 900, "base": 900, "line": 900, "baseline": 500, "the": 60_000, "however": 2_000}
+    text = "the in\nput of the base\nline in put base line however"
+    got, _ = scans.repair(text, None, Counter(), scans.Decoder(words))
+    assert got == []
+
+
+def test_a_thousand_flowing_lines_are_one_paragraph():
+    lines = ["we compare the decoder with a measurement and modern kernels although the"] * 1000
+    assert scans.paragraphs(lines, [False] * 1000) == [0]
+    assert scans.paragraphs([*lines, "kernels fail.", "We compare the decoder"], [False] * 1001 + [True]) == [0, 1001]
+
+
+def test_the_vocabulary_is_cut_by_shares(spark):
+    rows = [("a", [("H", 1, "common " * 5000 + "rare rare once")])] * 3
+    docs = spark.createDataFrame(rows, "key string, sections array<struct<heading:string,level:int,text:string>>")
+    assert scans.vocabulary(docs) == ({"common": 15_000, "rare": 6, "once": 3}, 15_009)
+    assert scans.vocabulary(docs, least=0.001)[0] == {"common": 15_000}
