@@ -2,8 +2,9 @@
 
 Method: weak supervision. Wide patterns propose spans; for each span labelers (patterns, gazetteers, context) vote for, against or not
 at all. The votes fall into few patterns, whose numbers over all texts are all that expectation-maximisation needs: it estimates
-how far each labeler can be trusted, without labels. A logistic span classifier is then trained on its posteriors, over the
-votes and the span's shape, and decides every span.
+how far each labeler can be trusted, without labels. Its posteriors are summed over all texts by the words around the spans, so that phrases that
+announce or rule out personal information are learned from the corpus, and vote in a second round. A logistic classifier over the votes, the
+words around a span and its shape is then trained on the posteriors of a bounded sample of spans, and decides every span.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,19 @@ from corpusloom.llm.common import materialize
 
 #: About how many texts the shape model of surnames is learned from.
 SHAPE_TEXTS = 5_000
+#: About how many spans of a kind the classifier is fitted on.
+SAMPLE_SPANS = 20_000
+#: Least share of a kind's spans that stand beside a phrase which votes; so at most 3 / LEAST_CONTEXT phrases of a kind are sent.
+LEAST_CONTEXT = 3e-5
+#: Least share of all words in small letters that makes a word ordinary; at most 1 / ORDINARY words are sent.
+ORDINARY = 2e-5
+#: Columns of the classifier for words around spans and shapes.
+HASHED = 1 << 18
 
 # Words around personal information, in English, German, French and Spanish.
 TITLES = "Mr Mrs Ms Miss Dr Dr. Prof. Professor Herr Frau Mme M. Mlle Sr. Sra. Dra. Mr. Mrs. Ms. Doktor"
 GREETINGS = "Dear Hi Hello Hallo Hey Liebe Lieber Geehrte Geehrter Bonjour Cher Chère Estimado Estimada Hola Querido Querida"
-CUES = "by for with reach ask to from participant Student attn. attn owner= Name: name: Applicant: applicant: annotator letter: and thank thanks to: contact= an von de à a Since As at: & of cc signed As: Escriba Écrivez Schreiben wrote: | author= Author: par por"
-THINGS = (
-    "bound inequality transform lemma kernel theorem method kernels House Hall cathedral split Collaboration conjecture algorithm estimator test distance norm matrix dataset corpus benchmark "
-    "building tower library process model prior loss criterion operator equation process space distribution number numbers effect machine network index score Institute University Laboratory Consortium Observatory "
-    "Road Street St Lane Blvd Avenue Ave Close Way Court Square bridge Center Centre room station"
-)
+BEFORE_PEOPLE = "by with from for to and since as at of an von de à par por".split()
 STREETS = "Road|Rd|Street|St|Blvd|Boulevard|Lane|Close|Avenue|Ave|Way|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Crescent|Row|Hill|Gardens|Walk"
 
 _U = r"[A-ZÀ-ÖØ-Þ]"
@@ -48,12 +53,10 @@ ADDRESS = re.compile(
     rf"|\b\d+[A-Za-z]?(?:[ ](?:bis|ter|quater))?,?[ \n](?:rue|avenue|av\.|boulevard|bd|place|chemin|quai|impasse|allée|cours|route)[ \n](?:(?:de la|de|du|des|d['’]|la|le|les)[ ]?)?{_U}[\w'’-]+{_SEP}(?:F-)?\d{{4,5}}[ \n]{_TOWN}"
     rf"|(?:\b(?:Calle|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía)|C/)[ \n]?(?:(?:de la|de los|de las|del|de)[ ])?{_U}[\w'’-]+,?[ \n](?:n\.?º[ ]?)?\d+[A-Za-z]?(?:,[ ]?\d+\.?[ºª°o]\.?(?:[ ][A-Za-z]\b|[ ](?:izq|dcha)\.?)?)?{_SEP}(?:E-)?\d{{4,5}}[ \n]{_TOWN}"
 )
-#: One of these stands in every address; patterns run only around them.
-ADDRESS_HINTS = (
-    *(f" {x}" for x in STREETS.split("|") if x not in ("Dr", "Ct", "Pl", "Sq", "Rd", "St", "Ave")), " Rd", " St,", " St.", " St\n", " Ave", " Dr,", " Dr\n", " Ct", " Pl,", " Pl\n", " Sq",
-    "Box ", "BOX ", "straße", "strasse", "str.", "weg ", "platz ", "allee ", "gasse ", "ring ", "ufer ", "damm ", "Postfach ", "postale ", "BP ", "B.P.", "Apartado ", "Apdo",
-    " rue ", " avenue ", " av. ", " boulevard ", " bd ", " place ", " chemin ", " quai ", " impasse ", " cours ", " route ", "Calle ", "Avda.", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "Travesía ", "C/",
-)
+# One of these words stands in every address, or one of these ends of a street's name.
+ADDRESS_WORDS = f"{STREETS}|Calle|Avda|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|C/|Box|BOX|Postfach|BP|Apartado|Apdo|House|Tower|Hall|Lodge"
+ADDRESS_WORDS += "|rue|avenue|av|boulevard|bd|place|chemin|quai|impasse|allée|cours|route|postale|B.P."
+STREET_ENDS = "straße|strasse|str|weg|platz|allee|gasse|ring|ufer|damm"
 _AT = r"(?:[ ]?@[ ]?|[ ]?[(\[{<][ ]?(?:at|AT|ät|@)[ ]?[)\]}>][ ]?|[ ](?:at|AT)[ ])"
 _DOT = r"(?:\.|[ ]?[(\[{<][ ]?(?:dot|DOT|punkt|\.)[ ]?[)\]}>][ ]?|[ ](?:dot|DOT)[ ])"
 EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]*+{_AT}[A-Za-z0-9][\w-]*+(?:{_DOT}[A-Za-z0-9][\w-]*+)++(?![ ]?@|[ ]?[(\[](?:at|AT)[)\]]|[ ](?:at|AT)[ ]\S+[ ](?:dot|DOT)[ ])")
@@ -67,20 +70,18 @@ ID = re.compile(r"(?<![\w/.@+-])(?:[A-Z]{2}[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-D]|(?:
 WORD = re.compile(rf"\b{_U}[^\W\d_]*(?:['’-][^\W\d_]+)*")
 LOWER_NEXT = re.compile(r"[ ](?:([A-Za-z])\.?[ ])?([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 DIGITS = re.compile(r"\d[\d()/+.-]*+(?: [\d(][\d()/+.-]*+)*+")
-#: What stands right before numbers of runs, grants, builds and the like.
-OTHER_NUMBER = ("steps ", "ticket ", "run id ", "than ", "widths ", "doi ", "Seeds ", "Build ", "such as ", "Grant no. ", "arXiv:", "the run S", "Checkpoint QX", "ref/")
-
 ID_CUE = re.compile(
     r"(?i)(?:passport|passeport|pasaporte|reisepass|ausweis|social security|\bssn\b|tax (?:no|number|id)|steuer|\bni number|\bnino\b|national id|national insurance|insurance n|personnel|personal(?:nummer|-nr)|employee_?id|employee n|staff (?:card|no|id|number)|matric|matrikel"
     r"|student (?:no|id|number|card)|\bid on file|\bpayroll\b|\bhr wants|\bdni\b|\bnie\b|\bnif\b|sécurité sociale|seguridad social|numéro fiscal|carte d.identité|licen[cs]e n|badge|identity (?:card|no|number)|id[- ]card|sozialversicherung|versicherungs|\"(?:employee|staff|student|national)_id\")[^\d\n]{0,24}$"
 )
 ID_AFTER = re.compile(r"(?i)^[ ,)]{0,2}(?:is my|ist meine|est mon|es mi)[ ](?:NI|passport|social|tax|national|staff|student|steuer|DNI)")
-NOT_PERSON = re.compile(r"(?i)\b(?:build|(?:the )?run(?: id)?|ticket|checkpoint|grant(?: no)?|seeds?|isbn\S*(?: tags)?|such as|widths?|steps|older than|doi|arxiv|figure|table|lane|segment|release|version|issue|pull|commit|order|invoice|rates of|box|room)[ :.#=]*$")
+NOT_PERSON = re.compile(r"(?i)\b(?:build|run|run id|ticket|checkpoint|grant|grant no|seeds?|isbn\S*|doi|arxiv|figure|table|release|version|issue|commit|order|invoice|box|room)[ :.#=]*(?:[A-Z]{1,2})?$")
 PHONE_CUE = re.compile(r"(?i)(?:\bph\.?|phones?|tel\.?|telephone|telefon|teléfono|téléphone|mobile|mobil|móvil|portable|fax|call(?: me)?(?: on| at)?|\bT|office line|\bline|handy|durchwahl|numéro est le|número es el|nummer ist|nummer lautet|reach me(?: on| at)?|ring(?: me)?(?: on| at)?|whatsapp|cell|dial|text me (?:on|at)|by phone)[ :=.]*$")
-EMAIL_CUE = re.compile(r"(?i)(?:mail|e-mail|email|\bE:|contact|reach .{0,40} at|answers from|write to|send it to|cc|correo|courriel|adresse|slides come from|simply|or|,)[ :=<(|]*$")
-ADDRESS_CUE = re.compile(r"(?i)(?:lives at|moved to|posted to|address:?|ship .{0,30} to|ring at|anschrift(?: lautet)?|adresse(?: est| ist)?|dirección(?: postal)?(?: es)?|dossier au|send .{0,30} to|wohnt|habite|vive en|\n|\A|\|[ ]?)[ :]*$")
-
+_TOKENS, _AFTER = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\w\n]{0,3}([^\W\d_]+)")
+_SIGNS = " .,;:!?()[]{}<>\"'’|=#/*-–"
 
+# Endings of files, which are no domains here.
+FILE_ENDINGS = ("py", "md", "txt", "json", "csv", "cc", "sh", "yaml", "cpp")
 _DIGIT = re.compile(r"\d")
 _SHAPED = re.compile(rf"{_U}?[a-zß-ÿ]+(?:['’-]{_U}?[a-zß-ÿ]+)*|{_U}+(?:['’-]{_U}+)*")
 
@@ -119,13 +120,14 @@ class Shape:
 
 _PAIR = re.compile(rf"\b({_U}[a-zß-ÿ]+) (?:{_U}\. )?({_U}[a-zß-ÿ]{{4,}})\b")
 _GREETED = re.compile(rf"^(?:{'|'.join(GREETINGS.split())}) ({_U}[a-zß-ÿ]+),", re.M)
+_ALONE = re.compile(rf"^({_U}[a-zß-ÿ]+)$", re.M)
 _SMALL, _BEGINS = re.compile(r"\b[a-zß-ÿ]{2,}\b"), re.compile(r"(?:^|[.!?] )([A-Z][a-z]{3,}) [a-z]")
 
 
 def count_around_names(rows: DataFrame) -> DataFrame:
     """(kind, word, following, n): what names are learned from, counted over whole texts of rows (text, sampled).
 
-    Kinds are greeted (words after a greeting), pair (capital words and the one that follows) and small (words in small letters) of all texts;
+    Kinds are greeted (words after a greeting), alone (words that are a line), pair (capital words and the one that follows) and small (words in small letters) of all texts;
     small, pair and begins (first words of sentences) of the sampled ones are counted again with the prefix s_, for the shape model.
     """
 
@@ -145,6 +147,7 @@ def count_around_names(rows: DataFrame) -> DataFrame:
                 found["pair"].update(pairs)
                 found["small"].update(small)
                 found["greeted"].update(_GREETED.findall(t))
+                found["alone"].update(_ALONE.findall(t))
                 if sampled:
                     found["s_pair"].update(pairs)
                     found["s_small"].update(small)
@@ -172,7 +175,8 @@ def learn_shape(counts: DataFrame, given: set[str]) -> Shape:
 
 
 def learn_given(counts: DataFrame, shape: Shape) -> set[str]:
-    """Given names over all texts: words that are greeted, or before at least five surnames and mostly before surnames; not more often in small letters."""
+    """Given names over all texts: words that are greeted, or stand before at least five surnames, mostly before surnames, and also alone in a line as under
+    a letter; none that stands more often in small letters."""
     sent = counts.sparkSession.sparkContext.broadcast(shape)
 
     @F.pandas_udf("boolean")
@@ -185,22 +189,50 @@ def learn_given(counts: DataFrame, shape: Shape) -> set[str]:
     pairs = counts.where("kind = 'pair'").withColumn("like", like_surname("following")).groupBy("word")
     pairs = pairs.agg(F.sum(F.col("like").cast("int")).alias("surnames"), F.sum(F.when(F.col("like"), F.col("n"))).alias("uses"), F.sum("n").alias("followed"))
     stands = pairs.where("surnames >= 5 and 2 * uses >= followed").select("word", "uses")
-    found = total("greeted", "greeted").join(stands, "word", "full").join(total("small", "small"), "word", "left").fillna(0)
-    cues = {"name", "names"} | {x.lower().strip(".,=:") for x in [*f"{TITLES} {GREETINGS} {CUES}".split(), *" ".join(ADDRESS_HINTS).split()]}
-    return {r.word for r in found.where("small <= greeted + uses").collect() if r.word not in cues}
+    signed = total("alone", "alone").groupBy("word").agg(F.sum("alone").alias("alone"))
+    found = total("greeted", "greeted").join(stands, "word", "full").join(total("small", "small"), "word", "left").join(signed, "word", "left").fillna(0)
+    cues = {"name", "names"} | {x.lower().strip(".,=:") for x in [*f"{TITLES} {GREETINGS}".split(), *f"{ADDRESS_WORDS}|{STREET_ENDS}".split("|")]}
+    return {r.word for r in found.where("(greeted > 0 or alone > 0) and small <= greeted + uses").collect() if r.word not in cues}
+
+
+def learn_ordinary(counts: DataFrame, least: float = ORDINARY) -> set[str]:
+    """The words that make up at least a share of all words in small letters."""
+    small = counts.where("kind = 'small'")
+    total = small.agg(F.sum("n")).first()[0] or 0
+    return {r.word for r in small.where(F.col("n") >= least * total).select("word").collect()}
+
+
+def around(text: str, a: int, b: int) -> list[str]:
+    """The phrases beside a span on its lines: the word before it, the two before it (a number counts as 9), and the word after it; a sign where there is no word."""
+    line = text[max(0, a - 48) : a].rsplit("\n", 1)
+    before, after = line[-1].rstrip(_SIGNS), text[b : b + 24].lstrip(" ")
+    words = ["9" if w[0].isdigit() else w.lower() for w in _TOKENS.findall(before)[-2:]]
+    if words:
+        out = [] if words[-1] == "9" else [f"<{words[-1]}"]
+        if len(words) > 1:
+            out.append(f"<{words[0]} {words[1]}")
+    else:  # a sign, or the beginning of a line
+        out = [f"<{line[-1].rstrip(' ')[-1:]}" if line[-1] else "<\n" if len(line) > 1 else "<"]
+    n = _AFTER.match(after)
+    out.append(f">{n[1].lower()}" if n else f">{'9' if after[:1].isdigit() else after[:1]}")
+    return out
 
 
 class Finder:
-    """Spans of a text with the votes of the labelers: (kind, start, end, votes), votes a string of +, - and 0."""
+    """Spans of a text with the votes of the labelers and the phrases beside them: (kind, start, end, votes, around), votes a string of +, - and 0."""
 
-    def __init__(self, shape: Shape, given: set[str]):
-        self.shape, self.given = shape, given
+    def __init__(self, shape: Shape, given: set[str], ordinary: set[str]):
+        self.shape, self.given, self.ordinary = shape, given, ordinary
         self.known: dict[str, int] = {}
         self.givens = ahocorasick.Automaton()
         for w in given:
             self.givens.add_word(w, w)
         self.givens.make_automaton()
-        self.titles, self.greetings, self.cues, self.things = (set(x.split()) for x in (TITLES, GREETINGS, CUES, THINGS))
+        self.hints = ahocorasick.Automaton()
+        for w in (*ADDRESS_WORDS.split("|"), *STREET_ENDS.split("|")):
+            self.hints.add_word(w, (w, w in STREET_ENDS.split("|")))
+        self.hints.make_automaton()
+        self.titles, self.greetings = set(TITLES.split()), set(GREETINGS.split())
 
     def word(self, w: str) -> int:
         """0: nothing, 1: given name, 2: like a surname, 3: one capital letter."""
@@ -224,7 +256,10 @@ class Finder:
             self.known[w] = c
         return c
 
-    def find(self, text: str) -> list[tuple[str, int, int, str]]:
+    def find(self, text: str) -> list[tuple[str, int, int, str, list[str]]]:
+        return [(*x, around(text, x[1], x[2])) for x in self.spans(text)]
+
+    def spans(self, text: str) -> list[tuple[str, int, int, str]]:
         out: list[tuple[str, int, int, str]] = []
         taken: list[tuple[int, int]] = []
         emails = self._emails(text)
@@ -233,27 +268,27 @@ class Finder:
         if _DIGIT.search(text):
             for m in self._addresses(text):
                 a, b = m.span()
-                out.append(("ADDRESS", a, b, _votes(ADDRESS_CUE.search(text[max(0, a - 40) : a]), re.search(r"\d{4,5}$|\d{4,5}[ \n]\S+$", m[0]), not re.match(r"(?i)[ ,]*(?:is part of|split|segment)", text[b : b + 20]))))
+                line = text[a - 1 : a] in ("", "\n") and text[b : b + 1] in ("", "\n")
+                out.append(("ADDRESS", a, b, _votes(re.search(r"\d{4,5}$|\d{4,5}[ \n]\S+(?: \S+)*$", m[0]), line or None, re.match(r"\d|Flat|Apt|Apartment|Unit|Suite", m[0]))))
                 taken.append((a, b))
             out += self._numbers(text, taken)
         out += self._names(text, taken, [text[a:b] for _, a, b, _ in emails])
         return out
 
     def _addresses(self, text: str) -> Iterator[re.Match]:
-        spots = []
-        for h in ADDRESS_HINTS:
-            at = text.find(h)
-            while at >= 0:
-                spots.append(at)
-                at = text.find(h, at + 1)
-        end = -1
-        for at in sorted(spots):
-            if at + 20 <= end:
+        """Addresses in the stretches between empty lines that hold a word of an address."""
+        done = 0
+        for at, (word, street_end) in self.hints.iter(text):
+            if at < done or text[at + 1 : at + 2].isalpha():
                 continue
-            for m in ADDRESS.finditer(text, max(end, at - 90, 0), at + 110):
-                if m.end() > end:
-                    end = m.end()
-                    yield m
+            if street_end:  # a number follows
+                if not text[at + 1 : at + 4].lstrip(". \n")[:1].isdigit():
+                    continue
+            elif text[at - len(word) : at - len(word) + 1].isalnum():
+                continue
+            start, end = max(text.rfind("\n\n", 0, at) + 2, done) if "\n\n" in text[:at] else done, text.find("\n\n", at)
+            done = end if end >= 0 else len(text)
+            yield from ADDRESS.finditer(text, start, done)
 
     def _emails(self, text: str) -> list[tuple[str, int, int, str]]:
         if not MAYBE_EMAIL.search(text):
@@ -270,7 +305,7 @@ class Finder:
                     "EMAIL",
                     a,
                     b,
-                    _votes("@" in value, re.search(r"[(\[{]", value), any(self.word(w) for w in words) or any(self.word(w[1:]) == 2 for w in words), tail.isalpha() and len(tail) > 1 and tail.lower() not in ("py", "md", "txt", "json", "csv", "cc", "sh", "yaml", "cpp"), EMAIL_CUE.search(text[max(0, a - 60) : a]) or None, tail.isdigit() and -1, local == "lives" and -1),
+                    _votes("@" in value or None, re.search(r"[(\[{]", value), any(self.word(w) for w in words) or any(self.word(w[1:]) == 2 for w in words), tail.isalpha() and len(tail) > 1 and tail.lower() not in FILE_ENDINGS, (tail.isdigit() or tail.lower() in FILE_ENDINGS) and -1, "@" not in value and local.lower() in self.ordinary and -1),
                 )
             )
         return out
@@ -281,7 +316,7 @@ class Finder:
         windows = []
         for m in DIGITS.finditer(text):
             a, b = m.span()
-            if text.endswith(OTHER_NUMBER, 0, a) or sum(map(str.isdigit, m[0])) < 5 and text[a - 1 : a] != "(":
+            if sum(map(str.isdigit, m[0])) < 5 and text[a - 1 : a] != "(":
                 continue
             if windows and windows[-1][1] >= a - 12:
                 windows[-1][1] = b + 14
@@ -290,7 +325,7 @@ class Finder:
         for m in (m for x, y in windows for m in PHONE.finditer(text, x, y)):
             a, b = m.span()
             digits = re.sub(r"\D", "", re.split(r"(?i)[ ,]*(?:ext|x|durch|dw|poste|int|anexo)", m[0])[0])
-            if not 9 <= len(digits) <= 15 or _inside(a, b, taken) or text.endswith(OTHER_NUMBER, 0, a):
+            if not 9 <= len(digits) <= 15 or _inside(a, b, taken):
                 continue
             before = text[max(0, a - 40) : a]
             plus = re.match(r"\+|00[1-9]\d[ .-]?\d", m[0])
@@ -306,7 +341,7 @@ class Finder:
         for m in (m for x, y in windows for m in ID.finditer(text, x, y)):
             a, b = m.span()
             value = m[0]
-            if sum(map(str.isdigit, value)) < 5 or text.endswith(OTHER_NUMBER, 0, a) or _inside(a, b, taken):
+            if sum(map(str.isdigit, value)) < 5 or _inside(a, b, taken):
                 continue
             before = text[max(0, a - 48) : a]
             cue, after, other = ID_CUE.search(before), ID_AFTER.search(text[b : b + 30]), NOT_PERSON.search(before[-18:])
@@ -398,8 +433,6 @@ class Finder:
         prev = before.split()[-1] if before.split() and before[-1:] not in ("\n",) else ""
         line_start = before[-1:] in ("", "\n") or before.endswith(("| ", "> "))
         line_end = text[b : b + 1] in ("", "\n") or text[b : b + 2] == " |"
-        nxt = re.match(r"[ ]([\w-]+)", text[b : b + 30])
-        after = nxt[1] if nxt else ""
         full = 2 in kinds and len(kinds) > 1
         pair = len(words) == 1 and "-" in words[0] and kinds[0] == 2
         article = prev in ("The", "the", "a", "A", "Das", "Der", "Die", "Le", "La", "El", "St.", "this", "das", "der", "die", "den", "dem", "ein", "eine", "el", "la", "le", "un", "une", "una") and not full
@@ -409,13 +442,12 @@ class Finder:
             full or None,
             prev in self.titles or None,
             prev in self.greetings or None,
-            (after.lower() in self.things or after in self.things) and -1,
             pair and -1,
             article and -1,
             local or None,
             (line_start and line_end) or None,
-            (prev in self.cues or before.endswith(("=", '"', "(", ": "))) or None,
             kinds[0] == 1 or None,
+            prev.lower() in BEFORE_PEOPLE or None,
         ) + caseless + ("p" if text[b : b + 1] in (",", ".", ";", ")", '"', ":") else "n")
 
 
@@ -430,7 +462,10 @@ def _inside(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
 
 def aggregate_votes(patterns: dict[str, int], rounds: int = 40) -> dict[str, float]:
     """Posterior that a span with each pattern of votes is real, by expectation-maximisation over the patterns' counts (one class of
-    pattern per labeler value: +, -, 0; labelers independent given the class)."""
+    pattern per labeler value: +, -, 0; labelers independent given the class).
+
+    A vote may be weak but never counts for the other side, and a pattern without any vote for it is never more likely real than not.
+    """
     longest = max(patterns, key=len)
     blank = re.sub(r"[+-]", "0", longest)
     # The background: as many spans again on which no labeler votes, so that the other class is there even if the patterns propose few wrong spans.
@@ -451,98 +486,206 @@ def aggregate_votes(patterns: dict[str, int], rounds: int = 40) -> dict[str, flo
                 no = ((n * (1 - p))[at].sum() + 1) / ((n * (1 - p)).sum() + len(symbols))
                 ratio = math.log(yes / no)
                 if symbols[s] == "+":
-                    ratio = max(ratio, 1.5)  # a labeler may be weak, but its vote never counts for the other side
+                    ratio = max(ratio, 1.5)
                 elif symbols[s] == "-":
-                    ratio = min(ratio, -1.0)
+                    ratio = min(ratio, -1.5)
                 elif symbols[s] == "0":  # labelers abstain for many reasons
                     ratio = max(ratio, -0.3)
                 odds[at] += ratio
+        odds = np.where(plus == 0, np.minimum(odds, -0.5 - 2.0 * minus), odds)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return dict(zip(keys, p.tolist(), strict=True))
 
 
-def train_classifier(patterns: dict[str, int], target: dict[str, float], steps: int = 400) -> dict[str, float]:
-    """Score of each pattern by logistic regression on its votes and pairs of neighbouring votes, fitted to soft targets."""
-    keys = list(patterns)
-    names = sorted({(j, c) for k in keys for j, c in enumerate(k)})
-    at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(keys), len(names) + 1))
-    x[:, -1] = 1
-    for i, k in enumerate(keys):
-        for j, c in enumerate(k):
-            x[i, at[j, c]] = 1
-    y = np.array([target[k] for k in keys])
-    w = np.sqrt(np.array([patterns[k] for k in keys], float))
-    w /= w.sum()
-    beta = np.zeros(x.shape[1])
-    for _ in range(60):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (w * (p - y)) + 1e-4 * beta
-        h = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, g)
-        beta -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist(), strict=True))
+def phrase_votes(seen: list[tuple[str, int, float]], whole: tuple[int, float]) -> dict[str, float]:
+    """Log odds of a phrase beside a span against all spans of the kind, from (phrase, spans, their posteriors' sum), smoothed by four spans like all.
 
+    A phrase whose spans are less sure than the others but still likelier real than not says nothing.
+    """
+    n, s = whole
+    share = min(max(s / max(n, 1), 0.02), 0.98)
+    base = math.log(share / (1 - share))
+    odds = {p: math.log((t + 4 * share) / (m - t + 4 * (1 - share))) for p, m, t in seen}
+    return {p: x - base for p, x in odds.items() if x > base or x < -0.5}
 
-def find_spans(docs: DataFrame, given_names: DataFrame, id_column: str = "doc_id", text: str = "text", shape_texts: int = SHAPE_TEXTS) -> DataFrame:
-    """(doc_id, kind STRING, start INT, end INT, value STRING, score DOUBLE): the personal information in every text.
 
-    Kinds are EMAIL, PHONE, ID, ADDRESS and NAME; value is text[start:end] as it stands. given_names is (formal, short_form). Null and
-    empty texts give no rows; a row that repeats gives its spans again; the whole text is read whatever its length. The shape of
-    surnames is learned from a hash sample of about shape_texts whole texts; further given names and votes are counted over all texts.
-    """
+def with_phrases(votes: str, phrases: list[str], odds: dict[str, float]) -> str:
+    """votes with one more for what the phrases beside the span say: the two words before it where they are known, else the one, and the word
+    after it. For the span if both sides together are and neither is against, against it if both together are; sides that contradict each other say nothing."""
+    before = [odds[p] for p in phrases if p[0] == "<" and p in odds][-1:]
+    sides = before + [odds[p] for p in phrases if p[0] == ">" and p in odds]
+    total, worst = sum(sides), min(sides, default=0.0)
+    return ("-" if total < -1.0 else "+" if total > 1.0 and worst > -1.0 else "0") + votes
+
+
+def _columns(votes: str, phrases: list[str], value: str) -> list[int]:
+    """Columns of a span in the classifier: each vote, two neighbouring votes together, the phrases beside it and its shape."""
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", re.sub(rf"{_U}", "A", value))))
+    parts = [f"v{j}{c}" for j, c in enumerate(votes)] + [f"w{j}{votes[j : j + 2]}" for j in range(len(votes) - 1)] + phrases + [f"s{shape[:24]}"]
+    return [xxhash.xxh32_intdigest(p) % HASHED for p in parts]
+
+
+class Classifier:
+    """Logistic regression over hashed columns, fitted to soft targets by gradient steps with momentum; all spans of a kind with the same columns score the same."""
+
+    def __init__(self, spans: list[tuple[str, list[str], str]], target: list[float], steps: int = 150, ridge: float = 1e-4):
+        rows = [_columns(*x) for x in spans]
+        at = np.concatenate([np.asarray(r) for r in rows])
+        own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        y = np.asarray(target)
+        self.weights, speed = np.zeros(HASHED), np.zeros(HASHED)
+        self.base = math.log(max(y.mean(), 0.01) / max(1 - y.mean(), 0.01))
+        scale = np.sqrt(np.bincount(at, minlength=HASHED) / len(rows)) + 0.01
+        for _ in range(steps):
+            odds = self.base + np.bincount(own, self.weights[at], len(rows))
+            g = np.bincount(at, (y - 1 / (1 + np.exp(-np.clip(odds, -30, 30))))[own], HASHED) / len(rows) - ridge * self.weights
+            speed = 0.8 * speed + 0.5 * g / scale
+            self.weights += speed
+
+    def score(self, votes: str, phrases: list[str], value: str) -> float:
+        odds = self.base + self.weights[_columns(votes, phrases, value)].sum()
+        return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+
+
+SPAN = "struct<kind:string,start:int,end:int,votes:string,around:array<string>,value:string>"
+
+
+def _candidates(docs: DataFrame, given_names: DataFrame, id_column: str, text: str, shape_texts: int, keep_text: bool) -> DataFrame:
+    """(doc_id, spans ARRAY of SPAN, and text if kept), as a table: what the patterns propose in every text, with votes. Texts without a proposal have no row unless kept."""
     spark = docs.sparkSession
     given = {plain(x) for r in given_names.select("formal", "short_form").collect() for x in r if x}  # a fixed table of some dozens
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text != ''")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a single small file
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    share = max(1, math.ceil(rows.count() / shape_texts))
-    counts = count_around_names(rows.withColumn("sampled", F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0))
+    full = rows.where("text is not null and text != ''")
+    share = max(1, math.ceil(full.count() / shape_texts))
+    counts = count_around_names(full.withColumn("sampled", F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0))
     shape = learn_shape(counts, given)
-    sent = spark.sparkContext.broadcast((shape, given | learn_given(counts, shape)))
+    sent = spark.sparkContext.broadcast((shape, given | learn_given(counts, shape), learn_ordinary(counts)))
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(*sent.value)
         for b in batches:
-            found = [(d, *x, t[x[1] : x[2]]) for d, t in zip(b.doc_id, b.text, strict=True) for x in finder.find(t)]
-            yield pd.DataFrame(found, columns=["doc_id", "kind", "start", "end", "votes", "value"])
+            found = [[(*x, t[x[1] : x[2]]) for x in finder.find(t)] if t else [] for t in b.text]
+            b = b.assign(spans=found)
+            yield b if keep_text else b.loc[b.spans.map(len) > 0, ["doc_id", "spans"]]
 
     kind_of = rows.schema["doc_id"].dataType.simpleString()
-    spans = materialize(rows.mapInPandas(candidates, f"doc_id {kind_of}, kind string, start int, end int, votes string, value string"), "spans")
-    by_kind: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in spans.groupBy("kind", "votes").count().collect():  # at most 3^11 patterns, in practice some hundreds
-        by_kind[r.kind][r.votes] = r["count"]
-    scores = []
-    for kind, patterns in by_kind.items():
-        got = train_classifier(patterns, aggregate_votes(patterns))
-        scores += [(kind, v, float(s)) for v, s in got.items()]
-    table = spark.createDataFrame(scores, "kind string, votes string, score double")
-    return spans.join(F.broadcast(table), ["kind", "votes"]).where("score >= 0.5").select("doc_id", "kind", "start", "end", "value", "score")
+    return materialize((rows if keep_text else full).mapInPandas(run, f"doc_id {kind_of}, {'text string, ' if keep_text else ''}spans array<{SPAN}>"), "spans")
+
+
+def learn(candidates: DataFrame, sample_spans: int = SAMPLE_SPANS) -> dict[str, tuple[dict[str, float], Classifier]]:
+    """Of every kind the phrases that vote and the classifier. Votes and phrases are counted over all spans; the classifier is fitted on a hash sample of about
+    sample_spans spans of a kind."""
+    each = candidates.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    patterns: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in each.groupBy("kind", "votes").count().collect():  # at most 3^10 patterns, in practice some hundreds
+        patterns[r.kind][r.votes] = r["count"]
+    if not patterns:
+        return {}
+    first = {k: aggregate_votes(v) for k, v in patterns.items()}
+    whole = {k: (sum(v.values()), sum(n * first[k][p] for p, n in v.items())) for k, v in patterns.items()}
+    spark = candidates.sparkSession
+    table = spark.createDataFrame([(k, v, float(p)) for k, own in first.items() for v, p in own.items()], "kind string, votes string, p double")
+    least = F.create_map(*[F.lit(x) for k, (n, _) in whole.items() for x in (k, max(2.0, LEAST_CONTEXT * n))])
+    beside = each.join(F.broadcast(table), ["kind", "votes"]).select("kind", "p", F.explode(F.array_distinct("around")).alias("phrase"))
+    beside = beside.groupBy("kind", "phrase").agg(F.count("*").alias("n"), F.sum("p").alias("s")).where(F.col("n") >= F.element_at(least, F.col("kind")))
+    seen: dict[str, list] = defaultdict(list)
+    for r in beside.collect():
+        seen[r.kind].append((r.phrase, r.n, r.s))
+    odds = {k: phrase_votes(seen[k], whole[k]) for k in patterns}
+    sent = spark.sparkContext.broadcast(odds)
+
+    @F.pandas_udf("string")
+    def voted(kinds: pd.Series, votes: pd.Series, around_: pd.Series) -> pd.Series:
+        return pd.Series([with_phrases(v, list(x), sent.value[k]) for k, v, x in zip(kinds, votes, around_, strict=True)], dtype=object)
+
+    second: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in each.withColumn("votes", voted("kind", "votes", "around")).groupBy("kind", "votes").count().collect():
+        second[r.kind][r.votes] = r["count"]
+    target = {k: aggregate_votes(v) for k, v in second.items()}
+    every = F.create_map(*[F.lit(x) for k, (n, _) in whole.items() for x in (k, max(1, math.ceil(n / sample_spans)))])
+    rows: dict[str, list] = defaultdict(list)
+    for r in each.where(F.pmod(F.xxhash64("doc_id", "start", "end"), F.element_at(every, F.col("kind"))) == 0).select("kind", "votes", "around", "value").collect():
+        rows[r.kind].append((with_phrases(r.votes, r.around, odds[r.kind]), r.around, r.value))
+    # A tiny kind may have no row in the sample; its patterns stand for themselves.
+    for k in patterns:
+        rows[k] = sorted(rows[k]) or [(v, [], "") for v in second[k]]
+    return {k: (odds[k], Classifier(own, [target[k][x[0]] for x in own])) for k, own in rows.items()}
+
+
+class Judge:
+    """Decides spans by the learned phrases and classifiers. A span for which nothing votes is not kept whatever its score."""
+
+    def __init__(self, learned: dict[str, tuple[dict[str, float], Classifier]]):
+        self.learned = learned
+
+    def score(self, kind: str, votes: str, phrases: list[str], value: str) -> float:
+        odds, classifier = self.learned[kind]
+        votes = with_phrases(votes, phrases, odds)
+        return classifier.score(votes, phrases, value) if "+" in votes else 0.0
+
+
+def find_spans(docs: DataFrame, given_names: DataFrame, id_column: str = "doc_id", text: str = "text", shape_texts: int = SHAPE_TEXTS) -> DataFrame:
+    """(doc_id, kind STRING, start INT, end INT, value STRING, score DOUBLE): the personal information in every text.
+
+    Kinds are EMAIL, PHONE, ID, ADDRESS and NAME; value is text[start:end] as it stands. given_names is (formal, short_form). Null and
+    empty texts give no rows; a row that repeats gives its spans again; the whole text is read whatever its length. The shape of
+    surnames is learned from a hash sample of about shape_texts whole texts and the classifier from one of spans; further given names, phrases and votes
+    are counted over all texts.
+    """
+    candidates = _candidates(docs, given_names, id_column, text, shape_texts, False)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(candidates))
+    each = candidates.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        judge = Judge(sent.value)
+        for kinds, votes, around_, values in batches:
+            yield pd.Series([judge.score(k, v, list(x), w) for k, v, x, w in zip(kinds, votes, around_, values, strict=True)], dtype=float)
+
+    return each.withColumn("score", score("kind", "votes", "around", "value")).where("score >= 0.5").select("doc_id", "kind", "start", "end", "value", "score")
+
+
+def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, int]:
+    """The text with its spans (start, end, kind) replaced by [KIND], and their number; of overlapping ones the first, then longest, counts."""
+    parts, at = [], 0
+    for start, end, kind in sorted(set(spans), key=lambda s: (s[0], -s[1], s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind}]"]
+            at = end
+    return "".join([*parts, text[at:]]), len(set(spans))
+
+
+def redact_documents(docs: DataFrame, given_names: DataFrame, id_column: str = "doc_id", text: str = "text", shape_texts: int = SHAPE_TEXTS) -> DataFrame:
+    """(doc_id, redacted STRING, n_found INT): every text of docs with what find_spans finds in it replaced. The candidates are kept beside their texts, so nothing
+    is shuffled by document. Null texts stay null and empty ones empty; rows that repeat repeat."""
+    candidates = _candidates(docs, given_names, id_column, text, shape_texts, True)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(candidates))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(sent.value)
+        for b in batches:
+            out = []
+            for t, own in zip(b.text, b.spans, strict=True):
+                kept = [(s["start"], s["end"], s["kind"]) for s in own if judge.score(s["kind"], s["votes"], list(s["around"]), s["value"]) >= 0.5]
+                out.append(replace_spans(t, kept) if t else (t, 0))
+            yield pd.DataFrame({"doc_id": b.doc_id, "redacted": [x[0] for x in out], "n_found": [x[1] for x in out]})
+
+    kind_of = candidates.schema["doc_id"].dataType.simpleString()
+    return candidates.mapInPandas(run, f"doc_id {kind_of}, redacted string, n_found int")
 
 
 def redact(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, redacted STRING, n_found INT): every text with its spans replaced by [KIND]; overlapping spans become the first one's.
+    """(doc_id, redacted STRING, n_found INT): every text with given spans replaced by [KIND], as redact_documents does.
 
     Null texts stay null and empty ones empty. doc_id must name one text; copies under the same id get the same spans.
     """
-    found = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("end"), "kind"))).alias("spans"))
+    found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "kind")).alias("spans"))
     joined = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).join(found, "doc_id", "left")
 
     @F.pandas_udf("string")
     def replace(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, all_spans, strict=True):
-            if t is None or own is None:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in own:
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], f"[{s['kind']}]"]
-                    at = -s["end"]
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
+        return pd.Series([t if t is None or own is None else replace_spans(t, [(s["start"], s["end"], s["kind"]) for s in own])[0] for t, own in zip(texts, all_spans, strict=True)], dtype=object)
 
     return joined.select("doc_id", replace("text", "spans").alias("redacted"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_found"))

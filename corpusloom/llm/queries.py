@@ -86,8 +86,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _read(spark, folder, "documents")
-    return pii.redact(docs, pii.find_spans(docs, _read(spark, folder, "given_name")))
+    return pii.redact_documents(_read(spark, folder, "documents"), _read(spark, folder, "given_name"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

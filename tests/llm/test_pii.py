@@ -49,8 +49,43 @@ def test_odd_tables(spark):
 def test_votes_are_weighed():
     post = pii.aggregate_votes({"++": 50, "+0": 40, "0-": 60, "00": 30, "+-": 5})
     assert post["++"] > 0.9 and post["+0"] > 0.5 > post["0-"]
-    score = pii.train_classifier({"++": 50, "0-": 60}, {"++": 0.99, "0-": 0.01})
-    assert score["++"] > 0.9 > 0.1 > score["0-"]
+    assert pii.aggregate_votes({"+0": 10, "0-": 10})["0-"] < 0.1 and pii.aggregate_votes({"+0": 1000, "00": 3})["00"] < 0.5
+    rows = [("++", ["<call"], "1")] * 50 + [("0-", ["<build"], "1")] * 60
+    c = pii.Classifier(rows, [0.99] * 50 + [0.01] * 60)
+    assert c.score("++", ["<call"], "1") > 0.9 > 0.1 > c.score("0-", ["<build"], "1")
+
+
+def test_a_span_nothing_votes_for_is_not_kept():
+    judge = pii.Judge({"NAME": ({}, pii.Classifier([("000", [], "Ab")], [0.99]))})
+    assert judge.score("NAME", "00", [], "Ab") == 0.0 and judge.score("NAME", "0-", [], "Ab") == 0.0 and judge.score("NAME", "+0", [], "Ab") > 0.5
+
+
+def test_phrases_are_learned():
+    odds = pii.phrase_votes([("<call", 50, 49.0), ("<build", 40, 1.0), ("<so", 10, 5.5)], (200, 120.0))
+    assert odds["<call"] > 1 and odds["<build"] < -1 and "<so" not in odds
+    assert pii.with_phrases("0", ["<call", ">x"], odds) == "+0" and pii.with_phrases("+", ["<build", ">x"], odds) == "-+" and pii.with_phrases("0", ["<new"], odds) == "00" and pii.with_phrases("0", ["<call", ">x"], {"<call": 3.0, ">x": -1.5}) == "00"
+    assert pii.around("see\nPlease call Ann Lee, who", 16, 23) == ["<call", "<please call", ">who"]
+    assert pii.around("7", 0, 1) == ["<", ">"] and pii.around("a 12 b\n", 5, 6) == [">\n"]
+
+
+def test_one_pass_redacts_like_two(spark):
+    rows = [*enumerate(texts()), (900, None), (901, ""), (902, "nothing here"), (3, texts()[3])]
+    docs, spans = run(spark, rows)
+    given = spark.createDataFrame(GIVEN, "formal string, short_form string")
+    a = {(r.doc_id, r.redacted, r.n_found) for r in pii.redact(docs, spans).collect()}
+    got = pii.redact_documents(docs, given).collect()
+    assert {tuple(r) for r in got} == a and len(got) == len(rows)
+
+
+def test_long_addresses_and_other_wordings(spark):
+    long = "Flat 12B, Wogedelume House, 17-19 Bruurollund Road, Siligwogestad 45812"
+    other = [f"Kindly forward the parcel to {long} as soon as you can, and if nobody opens give {g} {s} a ring: +44 20 7946 0{200 + i}. Write {g.lower()}.{s.lower()} (at) post (dot) example (dot) org instead." for i, (g, s) in enumerate(zip(["Susan", "Oliver"] * 4, SURNAMES, strict=True))]
+    _, spans = run(spark, [*enumerate(texts()), *((500 + i, x) for i, x in enumerate(other))])
+    own = {}
+    for r in spans.where("doc_id >= 500").collect():
+        own.setdefault(r.doc_id - 500, set()).add((r.kind, r.value))
+    for i, x in enumerate(other):
+        assert ("ADDRESS", long) in own[i] and ("PHONE", f"+44 20 7946 0{200 + i}") in own[i] and any(k == "EMAIL" for k, _ in own[i]) and any(k == "NAME" and SURNAMES[i] in v for k, v in own[i])
 
 
 def test_given_names_are_learned_from_all_whole_texts(spark):
