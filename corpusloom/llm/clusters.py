@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import list_column, materialize, spread, vectors_of
-from corpusloom.llm.vectors import CFTree, prepared, salts_of, shard_centres, summarize, to_shards
+from corpusloom.llm.common import list_column, materialize, pairs_within, spread, vectors_of
+from corpusloom.llm.vectors import CFTree, entries_for, prepared, salts_of, shard_centres, summarize, to_shards
 
-#: Most leaves that one agglomeration takes (its distances need leaves squared); more are cut along their main axis first.
-WARD_LEAVES = 4000
+#: Most leaves that one agglomeration takes, whose distances need leaves squared: the tree of a shard coarsens its leaves until it has no more.
+WARD_LEAVES = 6000
 
 
 def ward(n: np.ndarray, ls: np.ndarray) -> list[tuple[int, int]]:
@@ -86,21 +86,6 @@ def candidates_of(n: np.ndarray, ls: np.ndarray, bounds: tuple[float, ...]) -> t
     return size[keep], total[keep]
 
 
-def _split_leaves(ls: np.ndarray, most: int) -> list[np.ndarray]:
-    parts, todo = [], [np.arange(len(ls))]
-    while todo:
-        own = todo.pop()
-        if len(own) <= most:
-            parts.append(own)
-            continue
-        x = ls[own] / np.linalg.norm(ls[own], axis=1, keepdims=True)
-        a = int((x @ x.mean(0)).argmin())
-        b = int((x @ x[a]).argmin())
-        order = np.argsort(x @ (x[a] - x[b]), kind="stable")
-        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
-    return parts
-
-
 def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix", bound: float = 0.80, leaf: float = 0.93, copies: int = 3) -> DataFrame:
     """(cluster_id STRING, key STRING, size LONG, mean DOUBLE, vec): the members of every group and their mean cosine to the others.
 
@@ -113,11 +98,11 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
     points, dim, rows = prepared(df, key, vector)
     if not rows:
         return spark.createDataFrame([], "cluster_id string, key string, size long, mean double, vec array<double>")
-    n, ls = summarize(points, dim)
+    n, ls = summarize(points, dim, entries_for(rows))
     centres, load = shard_centres(n, ls, rows)
-    salts = salts_of(load, copies)
+    salts = salts_of(load)
     salt_of = F.array(*[F.lit(s) for s in salts])
-    routed = to_shards(points, centres, copies, "key string, vec array<double>").withColumn("salt", F.pmod(F.xxhash64("key"), F.get(salt_of, F.col("shard"))).cast("int"))
+    routed = to_shards(points, centres, copies, "key string, vec array<float>").withColumn("salt", F.pmod(F.xxhash64("key"), F.get(salt_of, F.col("shard"))).cast("int"))
     routed = spread(routed, "shard", "salt")
 
     def leaves(t: pa.Table) -> pa.Table:
@@ -129,13 +114,12 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
         return pa.Table.from_arrays([pa.array(np.full(len(m), t.column("shard")[0].as_py(), np.int32)), pa.array(m), list_column(sums, pa.float32())], ["shard", "n", "ls"])
 
     def agglomerate(t: pa.Table) -> pa.Table:
-        tree = CFTree(dim, leaf)
+        tree = CFTree(dim, leaf, WARD_LEAVES)
         n, ls = t.column("n").to_numpy(), vectors_of(t.column("ls"))
         order = np.lexsort((ls[:, 0], ls[:, -1], -n))
         tree.insert(n[order], ls[order])
         m, sums = tree.entries()
-        got = [candidates_of(m[own], sums[own], (bound, (1 + bound) / 2)) for own in _split_leaves(sums, WARD_LEAVES)]
-        size, total = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        size, total = candidates_of(m, sums, (bound, (1 + bound) / 2))
         for _ in range(2):  # let the leaves move between the candidates before the vectors do
             if len(size):
                 near = (sums / m[:, None]) @ (total / size[:, None]).T >= bound
@@ -144,11 +128,11 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
         keep = size > 1.5
         shard = t.column("shard")[0].as_py()
         ids = [f"{shard}-{i}" for i in range(int(keep.sum()))]
-        return pa.Table.from_arrays([pa.array(ids, pa.string()), list_column((total[keep] / size[keep][:, None]).reshape(-1, dim), pa.float64())], ["cid", "centre"])
+        return pa.Table.from_arrays([pa.array(ids, pa.string()), list_column((total[keep] / size[keep][:, None]).reshape(-1, dim).astype(np.float32), pa.float32())], ["cid", "centre"])
 
     found = routed.groupBy("shard", "salt").applyInArrow(leaves, "shard int, n double, ls array<float>")
-    found = materialize(spread(found, "shard").groupBy("shard").applyInArrow(agglomerate, "cid string, centre array<double>"), "candidates")
-    near = to_shards(found, centres, copies, "cid string, centre array<double>", vec="centre")
+    found = materialize(spread(found, "shard").groupBy("shard").applyInArrow(agglomerate, "cid string, centre array<float>"), "candidates")
+    near = to_shards(found, centres, copies, "cid string, centre array<float>", vec="centre")
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.get(salt_of, F.col("shard")) - 1)))
 
     def assign(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -164,18 +148,20 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
     # The two copies of a shard's candidates, and candidates from several bounds, mostly have the same members: keep one of each.
     sets = member.groupBy("cid").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x")).where("m > 1")
     one = sets.groupBy("m", "h", "x").agg(F.min("cid").alias("cid")).select("cid")
-    member = materialize(member.join(one, "cid").join(points, "key"), "members")
-    for step in (bound - 0.01, bound):
-        member = _hold(member, step, dim)
+    # The first rounds work on narrow vectors with a margin, the last one, on each key's largest group, in double precision.
+    member = materialize(member.join(one, "cid").join(points.select("key", F.col("vec").cast("array<float>").alias("vec")), "key"), "members")
+    for step in (bound - 0.01, bound - 1e-4):
+        member = _hold(member, step, dim, "float")
+    member = materialize(member.drop("vec", "mean"), "members")
     sized = member.join(member.groupBy("cid").agg(F.count("*").alias("size")), "cid")
     first = sized.groupBy("key").agg(F.max(F.struct("size", "cid")).cid.alias("cid"))
-    member = materialize(_hold(member.join(first, ["key", "cid"]), bound, dim), "members")
+    member = materialize(_hold(first.join(points, "key"), bound, dim, "double"), "members")
     named = member.groupBy("cid").agg(F.min("key").alias("cluster_id"), F.count("*").alias("size")).where("size > 1")
     return member.join(named, "cid").select("cluster_id", "key", "size", "mean", "vec")
 
 
-def _hold(member: DataFrame, bound: float, dim: int) -> DataFrame:
-    """The members whose mean cosine to the other members of cid is at least bound, with that mean."""
+def _hold(member: DataFrame, bound: float, dim: int, kind: str) -> DataFrame:
+    """The members whose mean cosine to the other members of cid is at least bound, with that mean; vec is an array of kind."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,14 +193,12 @@ def _hold(member: DataFrame, bound: float, dim: int) -> DataFrame:
                 mean = ((vectors_of(b.column("vec")) * vectors_of(b.column("s"))).sum(1) - 1) / (b.column("m").to_numpy() - 1)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "key", "vec")), pa.array(mean)], ["cid", "key", "vec", "mean"]).filter(pa.array(mean >= bound))
 
-    return rows.join(sums, "cid").where("m > 1").mapInArrow(means, "cid string, key string, vec array<double>, mean double")
+    return rows.join(sums, "cid").where("m > 1").mapInArrow(means, f"cid string, key string, vec array<{kind}>, mean double")
 
 
 def pairs_of_groups(members: DataFrame) -> DataFrame:
     """(paper_key_a, paper_key_b): all pairs of different members of a group, smaller key first."""
-    a = members.select("cluster_id", F.col("key").alias("paper_key_a"))
-    b = members.select("cluster_id", F.col("key").alias("paper_key_b"))
-    return a.join(b, "cluster_id").where("paper_key_a < paper_key_b").select("paper_key_a", "paper_key_b")
+    return pairs_within(members, "cluster_id", "key", "paper_key_a", "paper_key_b")
 
 
 def describe_groups(members: DataFrame, titles: DataFrame, typical: int = 3, keywords: int = 5) -> DataFrame:

@@ -14,12 +14,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
+def spread(df: DataFrame, *cols: str, times: int = 1) -> DataFrame:
     """Hash-partition on cols into a fixed number of parts, which AQE leaves as they are.
 
-    For groups that go to Python: coalescing by bytes would put CPU-heavy groups into few tasks.
+    For groups that go to Python: coalescing by bytes would put CPU-heavy groups into few tasks. Several times as many parts even out heavy groups.
     """
-    return df.repartition(parallelism(df.sparkSession), *cols)
+    return df.repartition(times * parallelism(df.sparkSession), *cols)
 
 
 def pairs_within(members: DataFrame, group: str, item: str, first: str, second: str, block: int = 2000) -> DataFrame:

@@ -2,12 +2,15 @@
 
 Method: temperature mixing. A source's weight is its target share times a power of what it holds relative to that share: exponent 0
 gives the targets themselves, 1 the natural shares. Without a wanted size the mixture is as large as exponent 0 allows under the
-repetition limits; with one, the smallest exponent that meets the limits is found by bisection. Weights become whole passes over a
+repetition limits; with one, the smallest exponent that meets the limits is found by bisection. With a target entropy the weights are powers of the
+natural shares, and the exponent whose weights have that entropy is found by bisection. Weights become whole passes over a
 source and one part of a pass, which a permutation of blocks of texts fills up to its budget.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,9 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize
 from corpusloom.llm.tokens import TOKENIZER, sized
 
-#: Texts of a block; a source has so many blocks that one holds about as many.
+#: Texts of a block; a source has so many blocks that one holds about as many, however large it is.
 BLOCK_TEXTS = 2000
-MOST_BLOCKS = 4096
 
 
 def weights_at(exponent: float, shares: dict[str, float], tokens: dict[str, int]) -> dict[str, float]:
@@ -28,12 +30,41 @@ def weights_at(exponent: float, shares: dict[str, float], tokens: dict[str, int]
     return {s: x / total for s, x in raw.items()} if total else {}
 
 
-def choose_budgets(shares: dict[str, float], repeats: dict[str, int], tokens: dict[str, int], wanted: int | None = None, rounds: int = 60) -> tuple[dict[str, float], float]:
+def entropy_of(weights: dict[str, float]) -> float:
+    """Entropy of weights in nats."""
+    return -sum(x * math.log(x) for x in weights.values() if x > 0)
+
+
+def weights_of_entropy(entropy: float, tokens: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], float]:
+    """Powers of the natural shares whose entropy is the wanted one, and the exponent. Entropy falls as the exponent grows, from the logarithm of the number of
+    sources at 0; more than that can't be had and gives 0, less than at exponent 64 gives 64."""
+    low, high = 0.0, 64.0
+    held = {s: n for s, n in tokens.items() if n > 0}
+    most = max(held.values(), default=1)
+
+    def at(a: float) -> dict[str, float]:
+        raw = {s: (n / most) ** a for s, n in held.items()}
+        total = sum(raw.values())
+        return {s: x / total for s, x in raw.items()}
+
+    if not held or entropy >= entropy_of(at(0.0)):
+        return at(0.0) if held else {}, 0.0
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy_of(at(mid)) > entropy else (low, mid)
+    return at(high), high
+
+
+def choose_budgets(shares: dict[str, float], repeats: dict[str, int], tokens: dict[str, int], wanted: int | None = None, entropy: float | None = None, rounds: int = 60) -> tuple[dict[str, float], float]:
     """Token budget of each source, and the exponent.
 
     Without wanted: the largest mixture with exactly the shares. With it: that many tokens, or all the limits allow, at the smallest exponent
-    that keeps every source within its limit.
+    that keeps every source within its limit. With an entropy: powers of the natural shares of that entropy, as large as the limits allow or as wanted.
     """
+    if entropy is not None:
+        weights, exponent = weights_of_entropy(entropy, {s: tokens.get(s, 0) for s in shares}, rounds)
+        total = min((repeats[s] * tokens[s] / x for s, x in weights.items() if x > 0), default=0.0)
+        return {s: x * min(total, wanted or total) for s, x in weights.items()}, exponent
 
     def largest(a: float) -> float:
         w = weights_at(a, shares, tokens)
@@ -63,10 +94,11 @@ def source_name(column: str = "source"):
     return F.regexp_replace(F.lower(F.trim(column)), r"[\s-]+", "_")
 
 
-def mix(docs: DataFrame, targets: DataFrame, wanted: int | None = None, seed: int = 11, id_column: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, wanted: int | float | None = None, entropy: float | None = None, seed: int = 11, id_column: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, n_tokens, repeats INT) and the report (source, target_share, max_repeats, available, tokens, share, most_repeats, exponent).
 
-    targets is (source, target_share, max_repeats). Equal texts under several ids are one text: it belongs to the smallest id, stands in
+    targets is (source, target_share, max_repeats). wanted is a number of tokens, or as a float a multiple of all tokens of the sources; entropy is a share of the
+    largest possible one, the logarithm of the number of sources. Equal texts under several ids are one text: it belongs to the smallest id, stands in
     the mixture under it, and is used max_repeats times at most. Texts of sources without a target, of a null source, and null or
     empty texts are not used. Each source ends within the size of its smallest unused text of its budget.
     """
@@ -79,10 +111,12 @@ def mix(docs: DataFrame, targets: DataFrame, wanted: int | None = None, seed: in
     held = {r.source: (r.tokens, r.n) for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()}
     tokens = {s: int(t) for s, (t, _) in held.items()}
     shares = {s: x for s, (x, _) in goal.items()}
-    budgets, exponent = choose_budgets(shares, {s: r for s, (_, r) in goal.items()}, tokens, wanted)
+    if isinstance(wanted, float):
+        wanted = int(wanted * sum(tokens.values()))
+    budgets, exponent = choose_budgets(shares, {s: r for s, (_, r) in goal.items()}, tokens, wanted, entropy and entropy * math.log(max(len(tokens), 1)))
 
-    plan = [(s, int(b // tokens[s]), int(b - (b // tokens[s]) * tokens[s]), max(1, min(MOST_BLOCKS, held[s][1] // BLOCK_TEXTS))) for s, b in budgets.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, passes int, part long, blocks int"))
+    plan = [(s, int(b // tokens[s]), int(b - (b // tokens[s]) * tokens[s]), max(1, held[s][1] // BLOCK_TEXTS)) for s, b in budgets.items()]
+    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, passes int, part long, blocks long"))
     put = texts.join(plan_df, "source").withColumn("block", F.pmod(F.xxhash64("hash", F.lit(seed)), F.col("blocks")))
     # The blocks in a random order, with what the ones before hold; a block is whole, cut or left out of the part of a pass.
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)

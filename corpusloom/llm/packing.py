@@ -137,8 +137,11 @@ def pack(docs: DataFrame, windows: DataFrame, id_column: str = "doc_id", text: s
 
     @F.pandas_udf("struct<bucket:int,salts:int>")
     def bucket_of(names: pd.Series, n: pd.Series) -> pd.DataFrame:
-        b = [int(np.searchsorted(sent.value[w][0], x)) for w, x in zip(names, n, strict=True)]
-        return pd.DataFrame({"bucket": b, "salts": [salts.value[w][x] for w, x in zip(names, b, strict=True)]})
+        bucket, number = np.zeros(len(n), np.int32), np.zeros(len(n), np.int32)
+        for w, at in names.groupby(names, sort=False).indices.items():
+            bucket[at] = np.searchsorted(sent.value[w][0], n.to_numpy()[at])
+            number[at] = np.asarray(salts.value[w])[bucket[at]]
+        return pd.DataFrame({"bucket": bucket, "salts": number})
 
     put = pieces.withColumn("b", bucket_of("window_name", "n_tokens")).select("window_name", "doc_id", "piece", "start", "n_tokens", "b.bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("b.salts")).cast("int").alias("salt"))
     put = materialize(put, "pieces")

@@ -63,6 +63,12 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("key").alias("paper_key"), F.col("other").alias("near_key"), F.round("similarity", 6).alias("broad_score"), "rank")
 
 
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar papers of every paper, however similar."""
+    near = neighbours.most_similar(_read(spark, folder, "feature_matrix"), least=-1.0)
+    return near.select(F.col("key").alias("paper_key"), F.col("other").alias("near_key"), F.round("similarity", 6).alias("broad_score"), "rank")
+
+
 def p5_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), _read(spark, folder, "context_window"))
 
@@ -80,6 +86,16 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"))[1]
 
 
+def p6_grown(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mixture of three quarters of all tokens, for which the exponent must leave the targets."""
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"), wanted=0.75)[1]
+
+
+def p6_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mixture whose weights have nine tenths of the largest possible entropy."""
+    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"), entropy=0.9)[1]
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_spans(_read(spark, folder, "documents"), _read(spark, folder, "given_name"))
     return found.select("doc_id", "kind", "value").distinct()

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import list_column, materialize, vectors_of
 
-#: Most entries of the summary that reaches the driver, whatever the input: 4,096 x dimensions floats.
+#: Entries of the summary that reaches the driver: as many, or twice the number of shards if that is more.
 SUMMARY_ENTRIES = 4096
-#: Most shards, hence most centres that are broadcast.
-MOST_SHARDS = 2048
+#: Most shards, hence most centres that are broadcast (25 MB at 96 dimensions). They are found and asked in two levels, so both cost about the square root of
+#: their number. Beyond 65,536 shards (some 100 million vectors) the shards grow and are cut into parts, all of which are asked.
+MOST_SHARDS = 65_536
 #: Vectors a shard should hold.
 SHARD_ROWS = 1500
 
@@ -202,10 +203,13 @@ def _entries(tree: CFTree) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n), list_column(ls, pa.float32())], ["n", "ls"])
 
 
-def shard_centres(n: np.ndarray, ls: np.ndarray, rows: int, shard_rows: int = SHARD_ROWS, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centres of about rows / shard_rows shards and the rows near each, from weighted spherical k-means over CF entries."""
-    k = int(min(MOST_SHARDS, max(1, math.ceil(rows / shard_rows)), len(n)))
-    x = ls / np.maximum(np.linalg.norm(ls, axis=1, keepdims=True), 1e-12)
+def entries_for(rows: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Entries that the summary of so many rows may have."""
+    return max(SUMMARY_ENTRIES, 2 * min(MOST_SHARDS, math.ceil(rows / shard_rows)))
+
+
+def k_means(x: np.ndarray, n: np.ndarray, ls: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of k groups of CF entries by weighted spherical k-means; x are the entries' directions."""
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), k, replace=False, p=n / n.sum())] if k < len(x) else x.copy()
     for _ in range(rounds):
@@ -216,34 +220,88 @@ def shard_centres(n: np.ndarray, ls: np.ndarray, rows: int, shard_rows: int = SH
         load = np.bincount(own, n, k)
         empty = np.flatnonzero(load == 0)
         heavy = np.argsort(-load)[: len(empty)]
-        for e, h in zip(empty, heavy, strict=False):  # an empty shard takes half of a heavy one
+        for e, h in zip(empty, heavy, strict=False):  # an empty group takes half of a heavy one
             mine = np.flatnonzero(own == h)
             new[e] = ls[mine[np.argmin(s[mine, h])]]
         norm = np.linalg.norm(new, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, new / np.maximum(norm, 1e-12), c)
-    return c.astype(np.float32), np.bincount((x @ c.T).argmax(1), n, k)
-
-
-def salts_of(load: np.ndarray, copies: int, shard_rows: int = SHARD_ROWS) -> list[int]:
-    """Into how many parts each shard is cut so that a part holds a few times shard_rows at most, copies included."""
-    return [int(max(1, math.ceil(x * copies / (4 * copies * shard_rows)))) for x in load]
-
-
-def to_shards(table: DataFrame, centres: np.ndarray, copies: int, columns: str, vec: str = "vec") -> DataFrame:
-    """Each row once for each of its `copies` nearest centres, with `shard` INT and `turn` INT (0 for the nearest) before its columns."""
+    return c.astype(np.float32)
+
+
+class Centres:
+    """Centres of shards. Above one_level of them they lie below coarse centres, and only those below the coarse ones near a vector are asked."""
+
+    def __init__(self, n: np.ndarray, ls: np.ndarray, k: int, one_level: int = 2048, near: int = 6):
+        x = (ls / np.maximum(np.linalg.norm(ls, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        k = int(max(1, min(MOST_SHARDS, k, len(x))))
+        self.near, self.below = near, None
+        if k <= one_level:
+            self.fine = k_means(x, n, ls, k)
+        else:
+            self.coarse = k_means(x, n, ls, math.ceil(math.sqrt(k)))
+            own = (x @ self.coarse.T).argmax(1)
+            parts, self.below = [], []
+            for g in range(len(self.coarse)):
+                at = np.flatnonzero(own == g)
+                share = max(1, min(len(at), round(k * n[at].sum() / n.sum()))) if len(at) else 0
+                self.below.append(np.arange(len(parts) and sum(map(len, parts)), (len(parts) and sum(map(len, parts))) + share))
+                parts.append(k_means(x[at], n[at], ls[at], share) if share else np.zeros((0, x.shape[1]), np.float32))
+            self.fine = np.concatenate(parts)
+        first, _ = self.nearest(x, 1)
+        self.load = np.bincount(first[:, 0], n, len(self.fine))
+
+    def nearest(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shards of the m nearest centres of each row, nearest first (the last repeats where there are fewer), and whether each is another one."""
+        x = np.asarray(x, np.float32)
+        if self.below is None:
+            return self._top(x @ self.fine.T, np.arange(len(self.fine)), m)
+        out, new = np.zeros((len(x), m), np.int64), np.zeros((len(x), m), bool)
+        s = x @ self.coarse.T
+        near = np.sort(np.argpartition(-s, min(self.near, s.shape[1]) - 1, axis=1)[:, : self.near], axis=1)
+        # rows with the same coarse centres are asked together
+        keys, row = np.unique(near, axis=0, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(row[order])) + 1):
+            own = np.concatenate([self.below[g] for g in keys[row[rows[0]]]])
+            out[rows], new[rows] = self._top(x[rows] @ self.fine[own].T, own, m)
+        return out, new
+
+    @staticmethod
+    def _top(s: np.ndarray, names: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        k = min(m, s.shape[1])
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(s), 1))
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        out = names[near[:, np.minimum(np.arange(m), k - 1)]]
+        return out, np.tile(np.arange(m) < k, (len(s), 1))
+
+
+def shard_centres(n: np.ndarray, ls: np.ndarray, rows: int, shard_rows: int = SHARD_ROWS) -> tuple[Centres, np.ndarray]:
+    """Centres of about rows / shard_rows shards and the rows near each."""
+    centres = Centres(n, ls, math.ceil(rows / shard_rows))
+    return centres, centres.load
+
+
+def salts_of(load: np.ndarray, shard_rows: int = SHARD_ROWS) -> list[int]:
+    """Into how many parts each shard is cut, so that a part holds at most 4 x shard_rows rows for each copy that is sent."""
+    return [int(max(1, math.ceil(x / (4 * shard_rows)))) for x in load]
+
+
+def to_shards(table: DataFrame, centres: Centres, copies: int, columns: str, vec: str = "vec") -> DataFrame:
+    """Each row once for each of its `copies` nearest centres, with `shard` INT and `turn` INT (0 for the nearest) before its columns; columns says the type vec is sent in."""
     sent = table.sparkSession.sparkContext.broadcast(centres)
+    narrow = f"{vec} array<float>" in columns
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            s = vectors_of(b.column(vec)).astype(np.float32) @ c.T
-            m = min(copies, len(c))
-            near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(s), 1))
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-            for turn in range(m):
-                yield pa.RecordBatch.from_arrays([pa.array(near[:, turn].astype(np.int32)), pa.array(np.full(len(s), turn, np.int32)), *b.columns], ["shard", "turn", *b.schema.names])
+            x = vectors_of(b.column(vec)).astype(np.float32)
+            near, other = sent.value.nearest(x, copies)
+            own = [list_column(x) if narrow and name == vec else b.column(name) for name in b.schema.names]
+            for turn in range(copies):
+                keep = pa.array(other[:, turn])
+                made = pa.RecordBatch.from_arrays([pa.array(near[:, turn].astype(np.int32)), pa.array(np.full(len(x), turn, np.int32)), *own], ["shard", "turn", *b.schema.names])
+                yield made.filter(keep)
 
     return table.mapInArrow(route, f"shard int, turn int, {columns}")
 

@@ -96,7 +96,7 @@ def test_tree_keeps_its_bound_and_its_sums():
 
 
 def test_hot_shards_are_cut():
-    assert vectors.salts_of(np.array([10.0, 1e6]), 3)[0] == 1 and vectors.salts_of(np.array([10.0, 1e6]), 3)[1] > 100
+    assert vectors.salts_of(np.array([10.0, 1e6])) == [1, 167]
 
 
 def test_graph_recall():
@@ -108,3 +108,34 @@ def test_graph_recall():
     s = x @ x.T
     hit = sum(len(set(ids[i][:6]) & set(np.argsort(-s[i])[:6])) for i in range(len(x)))
     assert hit / (6 * len(x)) >= 0.9
+
+
+def test_every_vector_gets_its_k_nearest(spark):
+    rows = made(noise=0.5)
+    x = unit(rows)
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -1)
+    got = {}
+    for r in neighbours.most_similar(table(spark, rows), k=7, least=-1.0).collect():
+        got.setdefault(r.key, []).append(r.other)
+    assert len(got) == len(rows) and all(len(v) == 7 for v in got.values())
+    hit = sum(len(set(got[rows[i][0]]) & {rows[j][0] for j in np.argsort(-s[i])[:7]}) for i in range(len(rows)))
+    assert hit >= 0.9 * 7 * len(rows)
+
+
+def test_two_levels_of_centres_ask_like_one():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    two = vectors.Centres(np.ones(len(x)), x, 300, one_level=100, near=8)
+    assert 250 <= len(two.fine) <= 350 and two.load.sum() == len(x)
+    got, new = two.nearest(x, 3)
+    want = np.argsort(-(x @ two.fine.T), axis=1)[:, :3]
+    assert new.all() and np.mean([len(set(a) & set(b)) / 3 for a, b in zip(got, want, strict=True)]) > 0.95
+    few = vectors.Centres(np.ones(2), x[:2], 2)
+    near, new = few.nearest(x[:2], 3)
+    assert near.shape == (2, 3) and new.tolist() == [[True, True, False]] * 2
+
+
+def test_the_summary_grows_with_the_rows():
+    assert vectors.entries_for(1000) == vectors.SUMMARY_ENTRIES and vectors.entries_for(30_000_000) == 40_000 and vectors.entries_for(10**12) == 2 * vectors.MOST_SHARDS
