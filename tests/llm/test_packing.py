@@ -105,7 +105,7 @@ def test_target_entropy():
 
 
 def test_a_wanted_size_moves_the_exponent(spark):
-    docs = spark.createDataFrame([(i, "word " * (5 + i % 7), "big" if i % 10 else "small") for i in range(600)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, f"{i} " + "word " * (5 + i % 7), "big" if i % 10 else "small") for i in range(600)], "doc_id long, text string, source string")
     goal = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
     exact = {r.source: r for r in mixing.mix(docs, goal)[1].collect()}
     grown = {r.source: r for r in mixing.mix(docs, goal, wanted=0.7)[1].collect()}
