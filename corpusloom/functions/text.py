@@ -176,6 +176,11 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def blended_confidence(grounded, local) -> Column:
+    """The confidence of what a model wrote, and a twentieth of the local one more; 1 at most, three digits. A null local one counts as 0."""
+    return F.round(F.least(F.lit(1.0), _col(grounded) + 0.05 * F.coalesce(_col(local), F.lit(0.0))), 3)
+
+
 def grounding_confidence(pdf, abstract_only, proposed, kept) -> Column:
     """1, less 0.1 for pdf, 0.35 for an abstract alone and a quarter of what was not kept; within 0 and 1, three digits."""
     lost = F.when(_col(proposed) > 0, 1 - _col(kept) / _col(proposed)).otherwise(F.lit(0.0))

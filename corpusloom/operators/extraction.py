@@ -114,6 +114,19 @@ def rank_snippets(scored: DataFrame, snippets: dict = SNIPPETS, per_kind: int =
     return rows.where((F.col("r") == 1) | (F.col("before") + F.col("r") <= in_all)).select("key", F.concat(letter, F.col("r").cast("string")).alias("id"), "kind", "sec_no", "sent_no", "sentence", "score")
 
 
+def span_of(text, piece) -> tuple[Column, Column]:
+    """Where a piece stands in a text, from 0, and where it ends; nulls if it isn't there as it stands (its white space or hyphens were normalised)."""
+    at = F.nullif(F.position(piece, text), F.lit(0)) - 1
+    return at, at + F.length(piece)
+
+
+def with_spans(pieces: DataFrame, sections: DataFrame, column: str) -> DataFrame:
+    """pieces (key, sec_no, column) with start_char and end_char: the place of each in the text of its section, null where normalising has changed it."""
+    rows = pieces.join(sections.select("key", "sec_no", F.col("text").alias("_text")), ["key", "sec_no"], "left")
+    start, end = span_of(F.col("_text"), F.col(column))
+    return rows.withColumn("start_char", start).withColumn("end_char", end).drop("_text").select(*pieces.columns, "start_char", "end_char")
+
+
 def backfill(sections: DataFrame, scored: DataFrame, kind: str, section_kinds: list[str], most: int = 4) -> DataFrame:
     """scored with up to `most` first sentences (score 1) of sections of the given kinds, for documents that have none of kind."""
     lacking = sections.where(F.col("kind").isin(*section_kinds)).join(scored.where(F.col("kind") == kind).select("key").distinct(), "key", "left_anti")
@@ -153,14 +166,22 @@ def find_mentions(sections: DataFrame, catalog: dict[str, list[str]], least: flo
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "pattern")
 
 
-def local_confidence(snippets: DataFrame, sections: DataFrame, mentions: DataFrame) -> DataFrame:
+# Names of methods that count when a title and its method statement share them.
+NAMED_METHODS = ["el2n", "grand", "coreset", "infobatch"]
+
+
+def local_confidence(snippets: DataFrame, sections: DataFrame, mentions: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(key, confidence) of extraction without a model: 0 without a method snippet of 6 or more; else .55, .2 for a method section, .1 for a
-    dataset, .1 for a statement that something is proposed or introduced, .99 at most."""
+    dataset, .15 for a method's name that the title (titles: key, title) shares, .1 for a statement that something is proposed or introduced, .99 at most."""
     w = Window.partitionBy("key").orderBy("id")
     best = snippets.where("kind = 'method' and score >= 6").withColumn("r", F.row_number().over(w)).where("r = 1")
     best = best.join(sections.select("key", "sec_no", T.normalize_heading("heading").alias("h")), ["key", "sec_no"]).join(mentions.select("key").distinct().withColumn("has", F.lit(True)), "key", "left")
     points = 0.55 + F.when(F.col("h").contains("method") | F.col("h").contains("approach"), 0.2).otherwise(0.0) + F.when(F.col("has"), 0.1).otherwise(0.0)
     points += F.when(F.lower("sentence").rlike(r"\bwe propose\b|\bwe introduce\b"), 0.1).otherwise(0.0)
+    if titles is not None:
+        best = best.join(titles.groupBy("key").agg(F.lower(F.min("title")).alias("title")), "key", "left")
+        both = [F.contains(F.lower("sentence"), F.lit(t)) & F.contains(F.coalesce("title", F.lit("")), F.lit(t)) for t in NAMED_METHODS]
+        points += F.when(both[0] | both[1] | both[2] | both[3], 0.15).otherwise(0.0)
     found = best.select("key", F.round(F.least(points, F.lit(0.99)), 3).alias("confidence"))
     return sections.select("key").distinct().join(found, "key", "left").fillna(0.0, ["confidence"])
 
@@ -180,13 +201,14 @@ def ground_records(records: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def locate_quotes(quotes: DataFrame, sections: DataFrame) -> DataFrame:
-    """quotes (key, quote_no, quote, section) with sec_no and found: exact in a section whose heading matches the declared one, relocated in
-    another one, invalid where no section of the document holds the normalised quote."""
+    """quotes (key, quote_no, quote, section) with sec_no, found, start_char and end_char: exact in a section whose heading matches the declared one, relocated in
+    another one, invalid where no section of the document holds the normalised quote. Places are null where the section holds it only after normalising."""
     q = quotes.withColumn("q", T.normalize_text("quote"))
-    s = sections.select("key", "sec_no", "heading", T.normalize_text("text").alias("t"))
+    s = sections.select("key", "sec_no", "heading", "text", T.normalize_text("text").alias("t"))
     hits = q.join(s, "key").where((F.col("q") != "") & F.contains("t", F.col("q"))).withColumn("declared", T.headings_match("section", "heading"))
     w = Window.partitionBy("key", "quote_no").orderBy(F.desc("declared"), "sec_no")
-    hits = hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("key", "quote_no", "sec_no", F.when(F.col("declared"), "exact").otherwise("relocated").alias("found"))
+    hits = hits.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("start_char", span_of(F.col("text"), F.col("q"))[0]).withColumn("end_char", span_of(F.col("text"), F.col("q"))[1])
+    hits = hits.select("key", "quote_no", "sec_no", F.when(F.col("declared"), "exact").otherwise("relocated").alias("found"), "start_char", "end_char")
     return quotes.join(hits, ["key", "quote_no"], "left").fillna("invalid", ["found"])
 
 

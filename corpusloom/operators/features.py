@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.sources.staging import materialize
+
 
 def words(x) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\b\w+\b"), 0)
@@ -53,7 +57,7 @@ def similar_pairs(features: DataFrame, least: float, by: tuple[str, ...] = ("cha
     Terms are ordered by how many rows hold them, rarest first. Two rows of length 1 can only reach `least` if they share a term outside the
     suffix of either row whose weights have a length below it, so only rows that share such a term are compared.
     """
-    f = features.groupBy("key", *by).agg(F.sum("weight").alias("weight")).persist()  # read five times
+    f = materialize(features.groupBy("key", *by).agg(F.sum("weight").alias("weight")), "features")  # read five times
     df = f.groupBy(*by).agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy(F.desc("df"), *by).rowsBetween(Window.unboundedPreceding, 0)
     prefix = f.join(df, list(by)).withColumn("suffix", F.sum(F.col("weight") * F.col("weight")).over(w)).where(F.col("suffix") >= least * least - 1e-9).where("df > 1").select("key", *by)
@@ -66,10 +70,15 @@ def fold_text(x: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", x or "").casefold().split())
 
 
+# Keywords that mean another one.
+ALIASES = {"data pruning": "dataset pruning", "data prune": "dataset pruning"}
+
+
 @F.pandas_udf(StringType())
 def normalize_keyword(x: pd.Series) -> pd.Series:
-    """NFKC, casefold, underscores, dashes and other signs as blanks, collapsed; null counts as empty."""
-    return x.map(lambda t: " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[_‐-―-]", " ", fold_text(t))).split()))
+    """NFKC, casefold, underscores, dashes and other signs as blanks, collapsed, then by ALIASES; null counts as empty."""
+    plain = x.map(lambda t: " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"[_‐-―-]", " ", fold_text(t))).split()))
+    return plain.map(lambda t: ALIASES.get(t, t))
 
 
 def agglomerate(items: DataFrame, threshold: float, collection: str = "collection", most: int = 5000) -> DataFrame:
@@ -170,16 +179,112 @@ def label_clusters(members: DataFrame, keywords: DataFrame, group: tuple[str, ..
     return out.select(*group, F.coalesce(F.nullif(F.array_join("top_keywords", "; "), F.lit("")), F.lit("unlabeled")).alias("label"), F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"))
 
 
-def cluster_quality(distances: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, size, mean_within, nearest_other, silhouette) from all distances (a, b, d) of a collection in both directions."""
-    m = members.select(F.col("key").alias("a"), F.col("cluster").alias("ca"))
-    p = distances.where("a != b").join(m, "a").join(members.select(F.col("key").alias("b"), F.col("cluster").alias("cb")), "b")
-    within = p.groupBy(F.col("ca").alias("cluster")).agg(F.avg(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("mean_within"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("nearest_other"))
-    each = p.groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
-    each = each.groupBy("a", "ca").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("other"))
+def cluster_quality(items: DataFrame, block: int = 8192) -> DataFrame:
+    """(cluster, size, mean_within, nearest_other, silhouette) of items (key, cluster, vec), by cosine distance of the vectors scaled to length 1.
+
+    A vector's mean distance to a cluster follows from the cluster's sum of vectors, so mean_within and silhouettes need one row per cluster, sent in blocks of
+    about `block` clusters. nearest_other compares all vectors, in blocks of as many; a task gives one number per cluster and block. Singletons have
+    a silhouette of 0 and no mean_within. Null or zero vectors are left out.
+    """
+    spark = items.sparkSession
+    kind = items.schema["cluster"].dataType.simpleString()
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _rows(b.column("vec"))
+                length = np.linalg.norm(x, axis=1)
+                x /= np.maximum(length, 1e-12)[:, None]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("cluster"), _lists(x)], ["key", "cluster", "vec"]).filter(pa.array(length > 0))
+
+    unit = items.where("vec is not null and size(vec) > 0").select(F.col("key").cast("string").alias("key"), "cluster", F.col("vec").cast("array<double>").alias("vec"))
+    unit = materialize(unit.mapInArrow(scale, f"key string, cluster {kind}, vec array<double>"), "unit")
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"cluster": t.column("cluster")[:1], "n": [sum(t.column("n").to_pylist())], "s": _lists(_rows(t.column("s").combine_chunks()).sum(0)[None])})
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                names, own = np.unique(b.column("cluster").to_numpy(zero_copy_only=False), return_inverse=True)
+                x = _rows(b.column("vec"))
+                total = np.zeros((len(names), x.shape[1]))
+                np.add.at(total, own, x)
+                yield pa.RecordBatch.from_arrays([pa.array(names, b.column("cluster").type), pa.array(np.bincount(own)), _lists(total)], ["cluster", "n", "s"])
+
+    sums = unit.select("cluster", "vec").mapInArrow(partial, f"cluster {kind}, n long, s array<double>")
+    sums = materialize(sums.groupBy("cluster").applyInArrow(add, f"cluster {kind}, n long, s array<double>"), "sums")
+    square = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
+    size = sums.select("cluster", F.col("n").alias("size"), F.when(F.col("n") > 1, 1 - (square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_within"))
+
+    means = None
+    for part in _blocks(sums, "cluster", block):
+        sent = spark.sparkContext.broadcast((part.column("cluster").to_numpy(zero_copy_only=False), part.column("n").to_numpy(), _rows(part.column("s").combine_chunks())))
+
+        def to_clusters(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, n, s = sent.value
+            for b in batches:
+                if b.num_rows:
+                    dots = _rows(b.column("vec")) @ s.T
+                    own = b.column("cluster").to_numpy(zero_copy_only=False)[:, None] == names[None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        mine = np.where(own & (n > 1), 1 - (dots - 1) / (n - 1), np.nan)
+                    there = np.where(own.any(1), np.nanmax(np.where(own, np.nan_to_num(mine, nan=-1.0), -2.0), axis=1), -2.0)
+                    other = np.where(own, np.inf, 1 - dots / n).min(1)
+                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("cluster"), pa.array(np.where(there >= -0.5, there, np.nan), from_pandas=True), pa.array(np.where(np.isfinite(other), other, np.nan), from_pandas=True)], ["key", "cluster", "own", "other"])
+
+        made = unit.mapInArrow(to_clusters, f"key string, cluster {kind}, own double, other double")
+        means = made if means is None else means.unionByName(made)
+    near = None
+    for part in _blocks(unit, "key", block):
+        sent = spark.sparkContext.broadcast((part.column("cluster").to_numpy(zero_copy_only=False), _rows(part.column("vec").combine_chunks())))
+
+        def to_others(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, y = sent.value
+            best: dict = {}
+            for b in batches:
+                if b.num_rows:
+                    own = b.column("cluster").to_numpy(zero_copy_only=False)
+                    d = np.where(own[:, None] == names[None], np.inf, 1 - _rows(b.column("vec")) @ y.T).min(1)
+                    for c, v in zip(own.tolist(), d.tolist(), strict=True):
+                        best[c] = min(best.get(c, v), v)
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), spark_type), pa.array([v if np.isfinite(v) else None for v in best.values()], pa.float64())], ["cluster", "d"])
+
+        spark_type = part.column("cluster").type
+        made = unit.select("cluster", "vec").mapInArrow(to_others, f"cluster {kind}, d double")
+        near = made if near is None else near.unionByName(made)
+    if means is None:
+        return size.select("cluster", "size", "mean_within", F.lit(None).cast("double").alias("nearest_other"), F.lit(None).cast("double").alias("silhouette")).limit(0)
     s = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
-    sil = each.groupBy(F.col("ca").alias("cluster")).agg(F.avg(s).alias("silhouette"))
-    return members.groupBy("cluster").agg(F.count("*").alias("size")).join(within, "cluster", "left").join(sil, "cluster", "left")
+    sil = means.groupBy("key", "cluster").agg(F.max("own").alias("own"), F.min("other").alias("other")).groupBy("cluster").agg(F.avg(s).alias("silhouette"))
+    return size.join(near.groupBy("cluster").agg(F.min("d").alias("nearest_other")), "cluster", "left").join(sil, "cluster", "left").select("cluster", "size", "mean_within", "nearest_other", "silhouette")
+
+
+def cluster_summary(quality: DataFrame) -> DataFrame:
+    """One row over the clusters of cluster_quality: n_clusters, n_singletons, n_clustered, silhouette (mean over records), ambiguity_warning (below 0.15) and
+    silhouette_reason; silhouette and warning are null, with the reason, unless there are 2 to n - 1 clusters."""
+    t = quality.agg(F.count("*").alias("n_clusters"), F.count_if(F.col("size") == 1).alias("n_singletons"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_clustered"), F.sum(F.col("silhouette") * F.col("size")).alias("_s"))
+    fine = (F.col("n_clusters") >= 2) & (F.col("n_clusters") < F.col("n_clustered"))
+    score = F.round(F.when(fine, F.col("_s") / F.col("n_clustered")), 4)
+    reason = F.when(~fine, "label-count precondition not met (need 2..n-1 clusters)")
+    return t.select("n_clusters", "n_singletons", "n_clustered", score.alias("silhouette"), (score < 0.15).alias("ambiguity_warning"), reason.alias("silhouette_reason"))
+
+
+def _rows(column) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _blocks(df: DataFrame, column: str, block: int) -> Iterator[pa.Table]:
+    """The rows of df in parts of about `block`, by a hash of column."""
+    parts = max(1, -(-df.count() // block))
+    for i in range(parts):
+        got = df.where(F.pmod(F.xxhash64(column), F.lit(parts)) == i).toArrow()
+        if got.num_rows:
+            yield got
 
 
-__all__ = ["agglomerate", "cluster_quality", "label_clusters", "normalize_keyword", "similar_pairs", "terms", "tfidf", "two_channels"]
+__all__ = ["agglomerate", "cluster_quality", "cluster_summary", "label_clusters", "normalize_keyword", "similar_pairs", "terms", "tfidf", "two_channels"]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.staging import materialize
+
 #: Most query vectors that one search takes; they are sent to every task (with 768 floats each, 200 MB at the bound).
 MOST_QUERIES = 65_536
 
@@ -144,7 +146,7 @@ def retrieve(corpus: DataFrame, queries: DataFrame, metadata: DataFrame, keyword
     scored = scored.drop("vec", "topic_vec").join(words, ["topic_id", "key"], "left")
     w = Window.partitionBy("topic_id").orderBy(F.desc("rerank_score"), "pool_pos")
     scored = scored.withColumn("rerank_pos", F.row_number().over(w))
-    scored = scored.persist()  # at most pool_size + keyword_n rows a topic, read four times
+    scored = materialize(scored, "pool")  # at most pool_size + keyword_n rows a topic, read four times
     ranks = scored.select("topic_id", F.lit("vector").alias("ranking"), "key", F.col("rerank_pos").alias("pos"))
     ranks = ranks.unionByName(scored.where("keyword_rank is not null").select("topic_id", F.lit("keyword").alias("ranking"), "key", F.col("keyword_rank").alias("pos")))
     if citations is not None:

@@ -81,9 +81,10 @@ RANKED = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key
 cap AS (SELECT *, coalesce((SELECT count(*) FROM top u WHERE u.key = t.key AND u.o < t.o), 0) AS before FROM top t)"""
 
 
-@query(f"WITH {DOCS}, {SECTIONS}, {SCORED}, {RANKED} SELECT key, upper(left(k, 1)) || rn AS id, k AS kind, sec_no, sent_no, sentence, score::DOUBLE AS score FROM cap WHERE rn = 1 OR before + rn <= 28")
+@query(f"WITH {DOCS}, {SECTIONS}, {SCORED}, {RANKED} SELECT c.key, upper(left(k, 1)) || rn AS id, k AS kind, c.sec_no, sent_no, sentence, score::DOUBLE AS score, CASE WHEN strpos(s.text, sentence) > 0 THEN strpos(s.text, sentence) - 1 END::INT AS start_char, CASE WHEN strpos(s.text, sentence) > 0 THEN strpos(s.text, sentence) - 1 + length(sentence) END::INT AS end_char FROM cap c JOIN sec s ON s.key = c.key AND s.sec_no = c.sec_no WHERE rn = 1 OR before + rn <= 28")
 def snippet_rank(spark: SparkSession, d: str) -> DataFrame:
-    return X.rank_snippets(X.score_snippets(X.explode_sections(docs(spark, d))))
+    s = X.explode_sections(docs(spark, d))
+    return X.with_spans(X.rank_snippets(X.score_snippets(s)), s, "sentence")
 
 
 @query(f"""WITH {DOCS}, {SECTIONS}, {SCORED},
@@ -119,15 +120,15 @@ def section_budget(spark: SparkSession, d: str) -> DataFrame:
     return s.select("key", "ord", "sec_no", "heading", F.length("text").alias("n"), F.sum("cost").over(w).cast("int").alias("used"))
 
 
-@query(f"""WITH {DOCS}, {SECTIONS}, q AS (SELECT key, 0 AS quote_no, substr({norm('text')}, 30, 60) AS quote, heading AS section FROM sec WHERE sec_no = 1),
+@query(f"""WITH {DOCS}, {SECTIONS}, q AS (SELECT key, sec_no AS quote_no, substr({norm('text')}, 30, 60) AS quote, heading AS section FROM sec),
 h AS (SELECT q.key, q.quote_no, s.sec_no, ({heading('section')} <> '' AND {heading('s.heading')} <> '' AND (contains({heading('section')}, {heading('s.heading')}) OR contains({heading('s.heading')}, {heading('section')}))) AS declared
  FROM q JOIN sec s USING (key) WHERE {norm('q.quote')} <> '' AND contains({norm('s.text')}, {norm('q.quote')})),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, quote_no ORDER BY declared DESC, sec_no) AS r FROM h) WHERE r = 1)
-SELECT q.key, q.quote_no, q.quote, b.sec_no, CASE WHEN b.key IS NULL THEN 'invalid' WHEN declared THEN 'exact' ELSE 'relocated' END AS found FROM q LEFT JOIN b ON q.key = b.key AND q.quote_no = b.quote_no""")
+SELECT q.key, q.quote_no, q.quote, b.sec_no, CASE WHEN b.key IS NOT NULL AND strpos(t.text, {norm('q.quote')}) > 0 THEN strpos(t.text, {norm('q.quote')}) - 1 END AS start_char, CASE WHEN b.key IS NULL THEN 'invalid' WHEN declared THEN 'exact' ELSE 'relocated' END AS found FROM q LEFT JOIN b ON q.key = b.key AND q.quote_no = b.quote_no LEFT JOIN sec t ON t.key = b.key AND t.sec_no = b.sec_no""")
 def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
     s = X.explode_sections(docs(spark, d))
-    q = s.where("sec_no = 1").select("key", F.lit(0).alias("quote_no"), F.substring(T.normalize_text("text"), 30, 60).alias("quote"), F.col("heading").alias("section"))
-    return X.locate_quotes(q, s).select("key", "quote_no", "quote", "sec_no", "found")
+    q = s.select("key", F.col("sec_no").alias("quote_no"), F.substring(T.normalize_text("text"), 30, 60).alias("quote"), F.col("heading").alias("section"))
+    return X.locate_quotes(q, s).select("key", "quote_no", "quote", "sec_no", F.col("start_char").cast("long").alias("start_char"), "found")
 
 
 # Beginnings put before every text, so that each rule has rows.
@@ -150,9 +151,12 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.estimate_tokens("text").alias("tokens"), T.trim_to_blank("text", 120).alias("short"), T.short_hash(12, "source", "text").alias("unit"))
 
 
-@query(f"""WITH {DOCS}, {SECTIONS}, m AS (SELECT key, sec_no, text, instr(text, 'Table ') AS pos FROM sec)
-SELECT key, sec_no, trim(CASE WHEN pos > 0 THEN substr(text, pos + 6) ELSE '' END) AS body FROM m WHERE pos > 0""")
+@query(f"""WITH {DOCS}, {SECTIONS}, m AS (SELECT key, sec_no, string_split(text, '. ') AS p FROM sec)
+SELECT key, sec_no, i::INT AS nth, trim(p[i + 1]) AS body FROM (SELECT key, sec_no, p, unnest(range(1, len(p))) AS i FROM m)""")
 def section_extents(spark: SparkSession, d: str) -> DataFrame:
-    s = X.explode_sections(docs(spark, d)).withColumn("at", F.instr("text", "Table ")).where("at > 0")
-    m = s.select(F.concat_ws("#", "key", "sec_no").alias("key"), F.col("key").alias("k"), "sec_no", "text", F.col("at").alias("pos"), (F.col("at") + 6).alias("end"))
-    return X.extents(m, "text").select(F.col("k").alias("key"), "sec_no", "body")
+    """What follows every sentence end of a section, up to the next one: markers with their places, and the extents between them."""
+    s = X.explode_sections(docs(spark, d)).withColumn("p", F.split("text", r"\. "))
+    place = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(i.alias("nth"), (1 + F.length(F.array_join(F.slice("p", 1, i), ". "))).alias("pos")))
+    s = s.where("size(p) > 1").select("key", "sec_no", "text", F.explode(place).alias("m")).select("key", "sec_no", "text", "m.*")
+    m = s.select(F.concat_ws("#", "key", "sec_no").alias("key"), F.col("key").alias("k"), "sec_no", "nth", "text", "pos", (F.col("pos") + 2).alias("end"))
+    return X.extents(m, "text").select(F.col("k").alias("key"), "sec_no", "nth", "body")

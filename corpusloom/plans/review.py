@@ -16,7 +16,7 @@ from corpusloom.plans.synthesis import LABELLED, members
 from corpusloom.streaming import quota as Q
 
 STATEMENTS = f"""st AS (SELECT key, 'problem' AS field, NULL AS ord, 'problem' AS kind, abstract AS text FROM docs WHERE abstract IS NOT NULL UNION ALL
- SELECT key, CASE kind WHEN 'method' THEN 'methods' WHEN 'results' THEN 'results' ELSE 'limitations' END, sec_no, CASE kind WHEN 'method' THEN 'method' WHEN 'results' THEN 'result' ELSE 'limitation' END, left({norm('text')}, 80) FROM sec WHERE kind IN ('method', 'results', 'limits')),
+ SELECT key, CASE kind WHEN 'method' THEN 'methods' WHEN 'results' THEN 'results' ELSE 'limitations' END, sec_no, CASE kind WHEN 'method' THEN 'method' WHEN 'results' THEN 'result' ELSE 'limitation' END, {norm('text')} FROM sec WHERE kind IN ('method', 'results', 'limits')),
 units AS (SELECT *, 'e_' || left(sha256(key || '|' || path || '|' || text), 12) AS unit_id FROM (SELECT *, CASE WHEN ord IS NULL THEN field ELSE field || '[' || ord || ']' END AS path FROM st))"""
 
 
@@ -25,7 +25,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     a = p.where("abstract is not null").select("key", F.lit("problem").alias("field"), F.lit(None).cast("int").alias("ord"), F.lit("problem").alias("kind"), F.col("abstract").alias("text"))
     s = X.explode_sections(p).where(F.col("kind").isin("method", "results", "limits"))
     name = lambda *v: F.when(F.col("kind") == "method", v[0]).when(F.col("kind") == "results", v[1]).otherwise(v[2])
-    s = s.select("key", name("methods", "results", "limitations").alias("field"), F.col("sec_no").alias("ord"), name("method", "result", "limitation").alias("kind"), F.left(T.normalize_text("text"), F.lit(80)).alias("text"))
+    s = s.select("key", name("methods", "results", "limitations").alias("field"), F.col("sec_no").alias("ord"), name("method", "result", "limitation").alias("kind"), T.normalize_text("text").alias("text"))
     return E.registry(a.unionByName(s))
 
 
@@ -46,7 +46,7 @@ def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
     return E.gap_candidates(units(spark, d), docs(spark, d)).drop("refs")
 
 
-CLAIMS = f"""{LABELLED}, cl AS (SELECT (row_number() OVER (ORDER BY cluster_id))::INT AS claim_no, cluster_id AS cluster, CASE WHEN size IS NULL THEN 'difference' ELSE 'shared' END AS kind, coalesce(label, '') AS text, list_distinct(paper_keys[1:3]) AS subj FROM c),
+CLAIMS = f"""{LABELLED}, cl AS (SELECT (row_number() OVER (ORDER BY cluster_id))::INT AS claim_no, cluster_id AS cluster, CASE WHEN size IS NULL THEN 'difference' ELSE 'shared' END AS kind, coalesce(label, '') AS text, list_distinct(paper_keys) AS subj FROM c),
 refs AS (SELECT DISTINCT cl.claim_no, u.unit_id AS ref, u.key AS owner, u.kind AS unit_kind FROM cl, units u WHERE list_contains(cl.subj, u.key))"""
 
 
@@ -54,7 +54,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("cluster_id").orderBy("built_at")
     c = table(spark, d, "cluster_assignment").withColumn("r", F.row_number().over(w)).where("r = 1")
     c = c.withColumn("claim_no", F.row_number().over(Window.orderBy("cluster_id")))
-    c = c.select("claim_no", F.col("cluster_id").alias("cluster"), F.when(F.col("size").isNull(), "difference").otherwise("shared").alias("kind"), F.coalesce("label", F.lit("")).alias("text"), F.array_distinct(F.slice("paper_keys", 1, 3)).alias("subjects"))
+    c = c.select("claim_no", F.col("cluster_id").alias("cluster"), F.when(F.col("size").isNull(), "difference").otherwise("shared").alias("kind"), F.coalesce("label", F.lit("")).alias("text"), F.array_distinct("paper_keys").alias("subjects"))
     u = units(spark, d)
     refs = c.select("claim_no", F.explode("subjects").alias("key")).join(u, "key").groupBy("claim_no").agg(F.sort_array(F.collect_set("unit_id")).alias("refs"))
     return c.join(refs, "claim_no", "left")

@@ -125,13 +125,19 @@ x AS (SELECT a, ca, cb, avg(d) AS m FROM dist GROUP BY ALL), y AS (SELECT a, ca,
 s AS (SELECT ca AS cluster, avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END) AS silhouette FROM y GROUP BY 1)
 SELECT cluster, (SELECT count(*) FROM e WHERE e.cluster = w.cluster) AS size, round(mean_within, 5) AS mean_within, round(nearest_other, 5) AS nearest_other, round(silhouette, 5) AS silhouette FROM w JOIN s USING (cluster)""")
 def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("label").cast("string").alias("cluster"), "embedding")
-    hits = R.search(e.select("key", F.col("embedding").cast("array<float>").alias("vec")), e.select(F.col("key").alias("a"), "embedding"), e.count(), ("a",))
-    dist = hits.select("a", F.col("key").alias("b"), (1 - F.col("score")).alias("d"))
-    q = V.cluster_quality(dist, e.select("key", "cluster"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("label").cast("string").alias("cluster"), F.col("embedding").alias("vec"))
+    q = V.cluster_quality(e)
     return q.select("cluster", "size", *[F.round(c, 5).alias(c) for c in ("mean_within", "nearest_other", "silhouette")])
 
 
+@query(f"""WITH {EMB}, x AS (SELECT a, ca, cb, avg(d) AS m FROM dist GROUP BY ALL), y AS (SELECT a, ca, min(m) FILTER (WHERE ca = cb) AS own, min(m) FILTER (WHERE ca <> cb) AS other FROM x GROUP BY ALL),
+s AS (SELECT avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END) AS v FROM y), n AS (SELECT count(DISTINCT cluster) AS k, count(*) AS n FROM e)
+SELECT k AS n_clusters, (SELECT count(*) FROM (SELECT cluster FROM e GROUP BY 1 HAVING count(*) = 1)) AS n_singletons, n AS n_clustered, round(v, 4) AS silhouette, round(v, 4) < 0.15 AS ambiguity_warning, CASE WHEN k < 2 OR k >= n THEN 'label-count precondition not met (need 2..n-1 clusters)' END AS silhouette_reason FROM s, n""")
+def cluster_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("label").cast("string").alias("cluster"), F.col("embedding").alias("vec"))
+    return V.cluster_summary(V.cluster_quality(e))
+
+
 @query(f"WITH {SQL_VECTORS}, {SEED} SELECT key, floor(i / 1000)::INT AS shard, i AS row_id, len(v)::INT AS dim FROM m JOIN vec USING (key)")
 def shard_rows(spark: SparkSession, d: str) -> DataFrame:
     v = R.clean_vectors(table(spark, d, "feature_matrix"))
