@@ -11,7 +11,7 @@ from corpusloom.functions import text as T
 PERMITTED = {"shared": ["method", "method_keyword", "problem", "contribution"], "difference": ["method", "method_keyword", "result", "limitation", "contribution"], "comparison": ["method", "result", "limitation"]}
 # What generated prose must not contain, and formatting instructions that are no evidence.
 UNSAFE = r"(?i)https?://|www\.|\[[^\]]+\]|<[^>]+>|\n\s*#"
-RANKING = r"(?i)\b(outperform\w*|state.of.the.art|best performance|superior|no prior work|never studied|first ever)\b"
+RANKING = r"(?i)\b(outperform\w*|state.of.the.art|best performance|superior|no prior work|never studied|first ever)\b|vượt trội|chưa (?:từng )?có nghiên cứu"
 NUMERIC = r"(?i)\d+(?:\.\d+)?\s*(?:%|pp\b|accuracy\b)"
 BOILERPLATE = r"(?i)^(?:the )?(?:abstract paragraph should be indented|manuscript (?:must|should) be (?:formatted|typed)|paper (?:must|should) be formatted)"
 PAPER_ID = r"(?i)\b(?:\d{4}\.\d{4,5}|[a-z-]+/\d{7})(?:v\d+)?\b"
@@ -120,22 +120,43 @@ def check_prose(written: DataFrame, slots: DataFrame) -> DataFrame:
     return out.unionByName(missing)
 
 
-def violations(papers: DataFrame, units: DataFrame, members: DataFrame, unassigned: DataFrame, refs: DataFrame) -> DataFrame:
+def violations(papers: DataFrame, units: DataFrame, members: DataFrame, unassigned: DataFrame, refs: DataFrame, *, clusters: DataFrame | None = None, cards: DataFrame | None = None, used_clusters: DataFrame | None = None, schema_version: str = "1", digest: str = "-") -> DataFrame:
     """(rule_no, rule, broken): how many rows break each rule of a snapshot. papers (key, core, version), units (unit_id, key, text), members
-    (cluster, key), unassigned (key), refs (ref). require_valid raises the first."""
+    (cluster, key), unassigned (key), refs (ref, and perhaps place: summary, comparison or gap); clusters (cluster, size), cards (key, ref) and used_clusters (cluster, place: summary or
+    comparison) are checked where given. require_valid raises the first."""
     known = papers.select("key").distinct()
     twice = lambda df, c: df.groupBy(c).count().where("count > 1")
     placed = members.select("key").distinct()
-    rules = [
-        ("duplicate_paper_key", twice(papers, "key")), ("duplicate_unit_id", twice(units, "unit_id")),
+    spark = papers.sparkSession
+    fact = lambda bad: spark.range(1 if bad else 0)
+    lost = refs.join(units.select(F.col("unit_id").alias("ref")), "ref", "left_anti")
+    # The names of the rules.
+    rules = [("unsupported_synthesis_schema", fact(schema_version != "1")), ("missing_corpus_digest", fact(not digest.strip())), ("duplicate_paper_key", twice(papers, "key")), ("duplicate_unit_id", twice(units, "unit_id"))]
+    if clusters is not None:
+        rules.append(("duplicate_cluster_id", twice(clusters, "cluster")))
+    rules += [
         ("noncanonical_paper_key", papers.where(F.col("key") != T.paper_key("core", "version"))),
         ("invalid_arxiv_identifier", papers.where(~F.col("key").rlike(r"(?i)^(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.-]*/\d{7})v[1-9]\d*$"))),
-        ("invalid_evidence_owner_or_text", units.where(F.trim(F.coalesce("text", F.lit(""))) == "").select("key").union(units.select("key").join(known, "key", "left_anti"))),
+    ]
+    if cards is not None:
+        owner = units.select(F.col("unit_id").alias("ref"), F.col("key").alias("owner"))
+        rules.append(("invalid_card_reference", cards.join(owner, "ref", "left").where("owner is null or owner != key")))
+    rules.append(("invalid_evidence_owner_or_text", units.where(F.trim(F.coalesce("text", F.lit(""))) == "").select("key").union(units.select("key").join(known, "key", "left_anti"))))
+    if clusters is not None:
+        held = members.groupBy("cluster").agg(F.count("*").alias("held"))
+        rules.append(("invalid_cluster_size", clusters.join(held, "cluster", "left").where("held is null or size is null or size != held")))
+    rules += [
         ("unknown_cluster_paper", placed.join(known, "key", "left_anti")), ("duplicate_membership", twice(members, "key")), ("duplicate_unassigned", twice(unassigned, "key")),
         ("assigned_and_unassigned", placed.join(unassigned, "key", "left_semi")), ("unknown_unassigned_paper", unassigned.join(known, "key", "left_anti")),
         ("missing_membership_disposition", known.join(placed.union(unassigned.select("key")), "key", "left_anti")),
-        ("dangling_ref", refs.join(units.select(F.col("unit_id").alias("ref")), "ref", "left_anti")),
     ]
+    if used_clusters is not None:
+        foreign = used_clusters.join((clusters if clusters is not None else members).select("cluster").distinct(), "cluster", "left_anti")
+        rules += [(f"unknown_{x}_cluster", foreign.where(F.col("place") == x)) for x in ("summary", "comparison")]
+    if "place" in refs.columns:
+        rules += [(f"dangling_{x}_ref", lost.where(F.col("place") == x)) for x in ("summary", "comparison", "gap")]
+    else:
+        rules.append(("dangling_ref", lost))
     out = None
     for i, (name, bad) in enumerate(rules):
         row = bad.agg(F.count("*").alias("broken")).select(F.lit(i).alias("rule_no"), F.lit(name).alias("rule"), "broken")

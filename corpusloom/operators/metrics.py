@@ -100,3 +100,36 @@ def by_category(papers: DataFrame) -> DataFrame:
 def singleton_rate(sizes: DataFrame) -> DataFrame:
     """One row: the share of single-member clusters in the members of all clusters (size), 0 without any."""
     return sizes.agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("size") == 1), F.sum("size")), F.lit(0.0)), 3).alias("singleton_rate"))
+
+
+def rate(kept, total):
+    """kept / total in three digits, null for an empty total."""
+    return F.round(F.try_divide(kept, total), 3)
+
+
+def citation_keep_rate(claims: DataFrame) -> DataFrame:
+    """One row over claims (status): kept (structurally validated), total and rate, null without claims."""
+    kept = F.count_if(F.col("status") == "structurally_validated")
+    return claims.agg(kept.alias("kept"), F.count("*").alias("total"), rate(kept, F.count("*")).alias("rate"))
+
+
+def completeness(records: DataFrame) -> DataFrame:
+    """One row: the share of records (status, method, results ARRAY) that are ok and have a method and a result; 0 without records."""
+    whole = (F.col("status") == "ok") & (F.coalesce("method", F.lit("")) != "") & (F.size(F.coalesce("results", F.array().cast("array<string>"))) > 0)
+    return records.agg(F.coalesce(rate(F.count_if(whole), F.count("*")), F.lit(0.0)).alias("completeness"))
+
+
+def support_shares(labels: DataFrame) -> DataFrame:
+    """One row over labels (label): the shares of supported, partially_supported and unsupported, and n; 0 without labels."""
+    share = lambda x: F.coalesce(rate(F.count_if(F.col("label") == x), F.count("*")), F.lit(0.0)).alias(x)
+    return labels.agg(share("supported"), share("partially_supported"), share("unsupported"), F.count("*").alias("n"))
+
+
+def writing_metrics(claims: DataFrame, papers: DataFrame, units: DataFrame) -> DataFrame:
+    """One row over written claims (key, ref, generation, omitted), papers (key) and units (unit_id): papers with a claim and all, claims written by a model
+    and all, both rates (null for nothing), units that no claim uses, and claims omitted for the budget."""
+    held = papers.select("key").distinct().join(claims.select("key").distinct().withColumn("hit", F.lit(1)), "key", "left").agg(F.count("hit").alias("papers_supported"), F.count("*").alias("papers"))
+    prose = claims.agg(F.count_if(F.col("generation") == "llm").alias("claims_written"), F.count("*").alias("claims"), F.count("omitted").alias("omitted"))
+    free = units.select("unit_id").distinct().join(claims.select(F.col("ref").alias("unit_id")).distinct(), "unit_id", "left_anti").agg(F.count("*").alias("unselected_units"))
+    r = held.crossJoin(prose).crossJoin(free)  # one row each
+    return r.select("*", F.round(F.try_divide("papers_supported", "papers"), 6).alias("paper_coverage"), F.round(F.try_divide("claims_written", "claims"), 6).alias("prose_coverage"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,27 +33,37 @@ def plan_slots(units: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def greedy_batches(items: DataFrame, group: str, order: Column, size: str, capacity: int, most_batches: int | None = None) -> DataFrame:
-    """items with batch INT: in their order, each goes to the open batch if it fits, else opens the next; nothing is split.
+    """items with batch INT and omitted STRING: in their order, each goes to the open batch if it fits, else opens the next; nothing is split.
 
-    An item larger than the capacity, or of a batch beyond most_batches, gets null. The fold needs all sizes of a group in order, so a group must be
-    a list that one reader handles; its rows are folded as an array in the JVM.
+    An item larger than the capacity (omitted: exceeds_batch), or of a batch beyond most_batches (omitted: budget), gets a null batch. The rows of a group come sorted,
+    batch of rows by batch of rows, so a group of any length takes bounded memory; it is one task, since each place depends on all before it.
     """
-    rows = items.withColumn("_o", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    lists = rows.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", F.col(size).cast("long").alias("size")))), lambda x: x["size"]).alias("sizes"))
-
-    def step(acc: Column, n: Column) -> Column:
-        big = n > capacity
-        new = (acc["used"] + n > capacity) | (acc["batch"] < 0)
-        batch = F.when(big, acc["batch"]).when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(big, acc["used"]).when(new, n).otherwise(acc["used"] + n)
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(acc["done"], F.array(F.when(big, F.lit(None)).otherwise(batch))).alias("done"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("batch"), F.array().cast("array<int>").alias("done"))
-    got = lists.select(group, F.posexplode(F.aggregate("sizes", start, step)["done"]).alias("_p", "batch")).withColumn("_o", F.col("_p") + 1).drop("_p")
-    out = rows.join(got, [group, "_o"]).drop("_o")
-    if most_batches is not None:
-        out = out.withColumn("batch", F.when(F.col("batch") < most_batches, F.col("batch")))
-    return out
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    names = items.columns
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, batch = object(), 0, -1
+        for t in tables:
+            said: list[int | None] = []
+            why: list[str | None] = []
+            for g, n in zip(t.column(group).to_pylist(), t.column("_n").to_pylist(), strict=True):
+                if g != current:
+                    current, used, batch = g, 0, -1
+                if n > capacity:
+                    said.append(None)
+                    why.append("exceeds_batch")
+                    continue
+                if batch < 0 or used + n > capacity:
+                    used, batch = 0, batch + 1
+                used += n
+                over = most_batches is not None and batch >= most_batches
+                said.append(None if over else batch)
+                why.append("budget" if over else None)
+            kept = [t.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.int32()), pa.array(why, pa.string())], [*names, "batch", "omitted"])
+
+    rows = items.withColumn("_o", order).withColumn("_n", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    return rows.repartition(group).sortWithinPartitions(group, "_o").drop("_o").mapInArrow(run, f"{fields}, batch int, omitted string")
 
 
 def chunks(df: DataFrame, order: list, n: int, group: list[str] | None = None, name: str = "chunk") -> DataFrame:
@@ -74,16 +87,28 @@ def review_coverage(papers: DataFrame, slots: DataFrame) -> DataFrame:
     return papers.select("key").distinct().join(slots.select("key").distinct().withColumn("hit", F.lit(True)), "key", "left").select("key", F.col("hit").isNotNull().alias("supported"))
 
 
-def render_bundle(slots: DataFrame, per_page: int = 25) -> DataFrame:
-    """(file, content): a Markdown page per section with links to its evidence, evidence pages of per_page units, the references and an index."""
+def render_bundle(slots: DataFrame, per_page: int = 25, lines: int = 1000) -> DataFrame:
+    """(file, content): Markdown pages per section with links to their evidence, evidence pages of per_page units, the references and an index.
+
+    References and index pages have at most `lines` lines, sections about as many: longer ones go on in files numbered from 1, so no task gathers more than a page.
+    """
     refs = chunks(slots.select("ref", "key", "text").dropDuplicates(["ref"]), ["ref"], per_page, name="page")
-    b = bibliography(slots)
-    line = F.concat(F.lit("- "), T.escape_markdown("text"), F.lit(" [["), F.col("number").cast("string"), F.lit("]](references.md) ([evidence](evidence-"), F.col("page").cast("string"), F.lit(".md#"), "ref", F.lit("))"))
-    body = slots.join(refs.select("ref", "page"), "ref").join(b, "key").select("section", "claim_id", line.alias("line"))
+    b = bibliography(slots).withColumn("sheet", F.floor((F.col("number") - 1) / lines))
+    name = lambda stem, sheet: F.concat(stem, F.when(sheet > 0, F.concat(F.lit("-"), sheet.cast("string"))).otherwise(F.lit("")), F.lit(".md"))
     joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
-    sections = body.groupBy("section").agg(F.concat(F.lit("# "), F.first("section"), F.lit("\n\n"), joined("claim_id")).alias("content")).select(F.concat(F.lit("section-"), "section", F.lit(".md")).alias("file"), "content")
+    listing = name(F.lit("references"), F.col("sheet"))
+    line = F.concat(F.lit("- "), T.escape_markdown("text"), F.lit(" [["), F.col("number").cast("string"), F.lit("]]("), listing, F.lit(") ([evidence](evidence-"), F.col("page").cast("string"), F.lit(".md#"), "ref", F.lit("))"))
+    body = slots.join(refs.select("ref", "page"), "ref").join(b, "key").select("section", "claim_id", line.alias("line"))
+    # The pages of a section are ranges of a hash of the claim ids.
+    held = body.groupBy("section").agg(F.ceil(F.count("*") / lines).alias("sheets"))
+    first = F.conv(F.substring(F.sha2("claim_id", 256), 1, 8), 16, 10).cast("long")
+    body = body.join(held, "section").withColumn("sheet", F.when(F.col("sheets") > 1, F.floor(first * F.col("sheets") / F.lit(1 << 32))).otherwise(F.lit(0)))
+    sections = body.groupBy("section", "sheet").agg(F.concat(F.lit("# "), F.first("section"), F.lit("\n\n"), joined("claim_id")).alias("content"))
+    sections = sections.select(name(F.concat(F.lit("section-"), F.col("section")), F.col("sheet")).alias("file"), "content")
     ev = refs.select("page", "ref", F.concat(F.lit('<a id="'), "ref", F.lit('"></a> '), T.escape_markdown("text"), F.lit(" ("), "key", F.lit(")")).alias("line"))
     pages = ev.groupBy("page").agg(joined("ref").alias("content")).select(F.concat(F.lit("evidence-"), F.col("page").cast("string"), F.lit(".md")).alias("file"), "content")
-    listed = b.select("number", F.concat(F.col("number").cast("string"), F.lit(". "), "key").alias("line")).agg(joined("number").alias("content")).select(F.lit("references.md").alias("file"), "content")
-    index = sections.select("file", F.concat(F.lit("- ["), "file", F.lit("]("), "file", F.lit(")")).alias("line")).agg(joined("file").alias("content")).select(F.lit("index.md").alias("file"), "content")
+    listed = b.select("sheet", "number", F.concat(F.col("number").cast("string"), F.lit(". "), "key").alias("line")).groupBy("sheet").agg(joined("number").alias("content"))
+    listed = listed.select(name(F.lit("references"), F.col("sheet")).alias("file"), "content")
+    index = chunks(sections.select("file"), ["file"], lines, name="sheet").select("sheet", "file", F.concat(F.lit("- ["), "file", F.lit("]("), "file", F.lit(")")).alias("line"))
+    index = index.groupBy("sheet").agg(joined("file").alias("content")).select(name(F.lit("index"), F.col("sheet")).alias("file"), "content")
     return sections.unionByName(pages).unionByName(listed).unionByName(index)

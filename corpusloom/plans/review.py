@@ -185,3 +185,49 @@ def singleton_rate(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("cluster_id").orderBy("built_at")
     c = table(spark, d, "cluster_assignment").withColumn("r", F.row_number().over(w)).where("r = 1")
     return M.singleton_rate(c.select(F.size("paper_keys").alias("size")))
+
+
+VALID = f"""ok AS (SELECT DISTINCT r.claim_no, r.owner FROM refs r JOIN cl USING (claim_no) WHERE (cl.kind = 'shared' AND r.unit_kind IN ('method', 'problem', 'contribution')) OR (cl.kind = 'difference' AND r.unit_kind IN ('method', 'result', 'limitation', 'contribution'))),
+sup AS (SELECT claim_no, list(owner) AS sup FROM ok GROUP BY 1), st2 AS (SELECT cl.claim_no, trim(text) <> '' AND len(subj) > 0 AND len(list_filter(subj, lambda x: NOT list_contains(coalesce(sup, []), x))) = 0 AND coalesce(len(sup), 0) >= 2
+ AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.claim_no = cl.claim_no AND NOT ((cl.kind = 'shared' AND r.unit_kind IN ('method', 'problem', 'contribution')) OR (cl.kind = 'difference' AND r.unit_kind IN ('method', 'result', 'limitation', 'contribution')))) AS good FROM cl LEFT JOIN sup USING (claim_no))"""
+
+
+@query(f"WITH {DOCS}, {SECTIONS}, {STATEMENTS}, {CLAIMS}, {VALID} SELECT count(*) FILTER (WHERE good) AS kept, count(*) AS total, round(count(*) FILTER (WHERE good)::DOUBLE / nullif(count(*), 0), 3) AS rate FROM st2")
+def citation_keep_rate(spark: SparkSession, d: str) -> DataFrame:
+    return M.citation_keep_rate(E.validate_claims(claims(spark, d), units(spark, d), members(spark, d)))
+
+
+@query(f"""WITH {DOCS}, {SECTIONS}, {STATEMENTS}, {CLAIMS}, {VALID}, wr AS (SELECT r.claim_no, string_agg(DISTINCT ref || ':' || unit_kind, ';' ORDER BY ref || ':' || unit_kind) AS wrong FROM refs r JOIN cl USING (claim_no)
+ WHERE NOT ((cl.kind = 'shared' AND unit_kind IN ('method', 'problem', 'contribution')) OR (cl.kind = 'difference' AND unit_kind IN ('method', 'result', 'limitation', 'contribution'))) GROUP BY 1)
+SELECT claim_no, trim(text) = '' AS empty_text, len(subj) = 0 AS no_subjects, len(list_filter(subj, lambda x: NOT list_contains(coalesce(sup, []), x))) > 0 AS unsupported_subjects,
+ cl.kind = 'shared' AND coalesce(len(sup), 0) < 2 AS shared_requires_two_subjects, cl.kind = 'difference' AND coalesce(len(sup), 0) < 2 AS difference_requires_both_sides, coalesce(wrong, '') AS wrong_kinds
+ FROM cl LEFT JOIN sup USING (claim_no) LEFT JOIN wr USING (claim_no)""")
+def claim_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The reasons of every claim, taken apart."""
+    v = E.validate_claims(claims(spark, d), units(spark, d), members(spark, d)).withColumn("r", F.coalesce("reason", F.lit("")))
+    has = lambda x: F.concat(F.lit("; "), "r").contains(f"; {x}").alias(x)
+    wrong = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("r", F.lit(r"wrong_kind:(\w+:\w+)"), 1))), ";").alias("wrong_kinds")
+    return v.select("claim_no", *[has(x) for x in ("empty_text", "no_subjects", "unsupported_subjects", "shared_requires_two_subjects", "difference_requires_both_sides")], wrong)
+
+
+@query(f"""WITH {DOCS}, {SECTIONS}, {STATEMENTS}, f AS (SELECT key, kind, min(unit_id) AS ref FROM units WHERE kind IN ('method', 'limitation') GROUP BY 1, 2), g AS (SELECT f.*, u.text FROM f JOIN units u ON u.unit_id = f.ref AND u.key = f.key WHERE trim(u.text) <> '')
+SELECT (SELECT count(DISTINCT key) FROM g) AS papers_supported, (SELECT count(*) FROM docs) AS papers, count(*) FILTER (WHERE kind = 'method') AS claims_written, count(*) AS claims, 0::BIGINT AS omitted, (SELECT count(DISTINCT unit_id) FROM units) - count(DISTINCT ref) AS unselected_units,
+ round((SELECT count(DISTINCT key) FROM g)::DOUBLE / (SELECT count(*) FROM docs), 6) AS paper_coverage, round(count(*) FILTER (WHERE kind = 'method')::DOUBLE / count(*), 6) AS prose_coverage FROM g""")
+def writing_metrics(spark: SparkSession, d: str) -> DataFrame:
+    u = units(spark, d)
+    slots = W.plan_slots(u, members(spark, d).groupBy("key").agg(F.min("cluster").alias("cluster")))
+    slots = slots.withColumn("generation", F.when(F.col("kind") == "method", "llm").otherwise("template")).withColumn("omitted", F.lit(None).cast("string"))
+    return M.writing_metrics(slots, docs(spark, d), u)
+
+
+@query(f"""WITH {DOCS}, {SECTIONS}, {STATEMENTS}, {LABELLED} SELECT 'invalid_cluster_size' AS rule, count(*) AS broken FROM (SELECT c.cluster_id, c.size, count(m.key) AS held FROM c LEFT JOIN m ON m.cluster = c.cluster_id GROUP BY 1, 2) WHERE size IS NULL OR size <> held
+UNION ALL SELECT 'unknown_cluster_paper', count(*) FROM (SELECT DISTINCT key FROM m) WHERE key NOT IN (SELECT key FROM docs) UNION ALL SELECT 'duplicate_membership', count(*) FROM (SELECT key FROM m GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_cluster_id', count(*) FROM (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'missing_membership_disposition', count(*) FROM docs WHERE key NOT IN (SELECT key FROM m WHERE key IS NOT NULL)
+UNION ALL SELECT 'invalid_evidence_owner_or_text', count(*) FROM units WHERE trim(text) = ''""")
+def snapshot_rules(spark: SparkSession, d: str) -> DataFrame:
+    p, u, m = docs(spark, d), units(spark, d), members(spark, d)
+    w = Window.partitionBy("cluster_id").orderBy("built_at")
+    c = table(spark, d, "cluster_assignment").withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("cluster_id").alias("cluster"), "size")
+    papers = p.select("key", T.id_core("arxiv_id").alias("core"), "version")
+    found = E.violations(papers, u, m, p.select("key").limit(0), u.select(F.col("unit_id").alias("ref")), clusters=c)
+    return found.where(F.col("rule").isin("invalid_cluster_size", "unknown_cluster_paper", "duplicate_membership", "duplicate_cluster_id", "missing_membership_disposition", "invalid_evidence_owner_or_text")).select("rule", "broken")

@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Members that may be taken from an archive, and headings of papers without a table of contents.
-SUFFIXES = (".tex", ".bib", ".bbl", ".sty", ".cls", ".txt")
-MAIN_NAMES = ("main", "paper", "article", "manuscript", "ms")
-HEADING = r"(?m)^[ \t]*(?:(?:\d+(?:\.\d+)*\.?|[IVX]+\.|Appendix [A-Z])[ \t]+)?(?i:abstract|introduction|related work|background|methods?|methodology|approach|experiments?|results|evaluation|discussion|limitations?|conclusions?|references|appendix)[ \t]*$"
+# Members that may be taken from an archive, names of main files, and headings of papers without a table of contents.
+SUFFIXES = (".tex", ".bbl", ".bib", ".sty", ".cls", ".clo", ".txt")
+MAIN_NAMES = ("main", "paper", "ms", "manuscript", "arxiv")
+HEADING_WORDS = "Abstract|Introduction|Related Work|Background|Method|Methods|Approach|Experiments?|Results?|Evaluation|Discussion|Conclusion|Conclusions|Limitations|References|Bibliography|Appendix"
+NUMBERED = r"(?:(?:\d+\.)+\d*|\d+)\s+[A-Z][\w\-].{1,80}"
+HEADING = re.compile(rf"(?:{NUMBERED}|(?:{HEADING_WORDS})\b.*)$", re.I)
+LONGEST_HEADING = 90
 
 
 def gunzip(data: bytes, most: int = 50_000_000) -> bytes | None:
@@ -29,7 +32,7 @@ def gunzip(data: bytes, most: int = 50_000_000) -> bytes | None:
         return None
 
 
-def safe_members(data: bytes, suffixes: tuple[str, ...] = SUFFIXES, most_files: int = 500, most_bytes: int = 50_000_000, depth: int = 8) -> list[tuple[str, bytes]]:
+def safe_members(data: bytes, suffixes: tuple[str, ...] = SUFFIXES, most_files: int = 400, most_bytes: int = 80_000_000, depth: int = 8) -> list[tuple[str, bytes]]:
     """Files of a tar archive: plain ones with a known suffix, no links, nothing absolute or above the root, within limits of number, bytes and depth."""
     out, total = [], 0
     try:
@@ -150,21 +153,53 @@ def tex_sections(files: dict[str, str]) -> tuple[str, str, list[dict]]:
     return title, abstract, out
 
 
+def normal(t: str) -> str:
+    """Text without soft hyphens and hyphenated breaks, white space collapsed."""
+    return re.sub(r"\s+", " ", re.sub(r"(\w)-\s+(\w)", r"\1\2", t.replace("­", ""))).strip()
+
+
 def page_sections(text: str) -> tuple[str, str, list[dict]]:
-    """Title, abstract and sections of the text of pages: cut at lines that read like headings."""
-    marks = list(re.finditer(HEADING, text))
-    lines = [x.strip() for x in text[: marks[0].start() if marks else 400].split("\n") if x.strip()]
-    title = max(lines[:3], key=len, default="")
-    out, abstract = [], ""
-    if not marks:
-        return title, "", [{"heading": "Body", "level": 1, "text": text.strip()}] if text.strip() else []
-    for m, until in zip(marks, [x.start() for x in marks[1:]] + [len(text)], strict=True):
-        body = text[m.end() : until].strip()
-        if m[0].strip().lower().endswith("abstract") and not abstract:
-            abstract = body
-        else:
-            out.append({"heading": m[0].strip(), "level": 1, "text": body})
-    return title, abstract, out
+    """Title, abstract and sections of the text of pages: cut at lines that read like headings, numbered or by their first word."""
+    lines = re.sub(r"(\w)-\n(\w)", r"\1\2", text).splitlines()
+    marks = [i for i, x in enumerate(lines) if len(x.strip()) < LONGEST_HEADING and HEADING.match(x.strip())]
+    out = [{"heading": "Preamble", "level": 1, "text": normal("\n".join(lines[: marks[0]]))}] if marks else [{"heading": "Body", "level": 1, "text": normal(text)}]
+    for at, until in zip(marks, [*marks[1:], len(lines)], strict=False):
+        out.append({"heading": normal(lines[at]), "level": 1, "text": normal("\n".join(lines[at + 1 : until]))})
+    return page_title(text), page_abstract(text, out), [s for s in out if s["text"]]
+
+
+def contents_sections(pages: list[str], contents: list[tuple[int, str, int]]) -> list[dict]:
+    """Sections by a table of contents (level, heading, page from 1): from the beginning of an entry's page to that of the next one's. A heading that its body
+    repeats is cut off; entries beyond the last page and empty bodies give none."""
+    starts = [0]
+    for p in pages:
+        starts.append(starts[-1] + len(p) + 1)
+    blob = "\n".join(pages)
+    place = lambda page: starts[max(page, 1) - 1] if page <= len(pages) else len(blob)
+    out = []
+    for (level, heading, page), after in zip(contents, [*contents[1:], None], strict=True):
+        if page > len(pages):
+            continue
+        head, body = normal(heading), normal(blob[place(page) : place(after[2]) if after else len(blob)])
+        if head and body.lower().startswith(head.lower()):
+            body = body[len(head) :].strip()
+        if body:
+            out.append({"heading": head or "Section", "level": level, "text": body})
+    return out or [{"heading": "Body", "level": 1, "text": normal(blob)}]
+
+
+def page_title(text: str) -> str:
+    """The first line of 12 to 180 characters that is no stamp of an archive."""
+    return next((x.strip() for x in text.splitlines() if 12 <= len(x.strip()) <= 180 and not x.strip().lower().startswith("arxiv")), "")
+
+
+def page_abstract(text: str, sections: list[dict]) -> str:
+    """The section called abstract, else what stands between that word and the introduction."""
+    own = next((s["text"] for s in sections if s["heading"].lower().strip() == "abstract"), "")
+    if own:
+        return own
+    m = re.search(r"(?is)(?:^|\n)\s*abstract\s*(?:\n|:)\s*(.+?)\n\s*(?:(?:1\s+)?introduction\b|1\.)", text)
+    return normal(m[1]) if m else ""
 
 
 SECTIONS = "title string, abstract string, sections array<struct<heading:string,level:int,text:string>>"
@@ -180,13 +215,27 @@ def parse_tex(files: DataFrame) -> DataFrame:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(key, title, abstract, sections) of the text of pages (key, text). Getting text out of a PDF needs a library that is no part of this engine."""
+    """(key, title, abstract, sections) of the text of pages (key, text), or of pages (key, pages ARRAY<STRING>, contents ARRAY<STRUCT<level, heading, page>>), whose table of contents
+    counts where it isn't empty. Getting text out of a PDF needs a library that is no part of this engine. Null texts and lists give no rows."""
+    listed = "pages" in pages.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, *page_sections(t)) for k, t in zip(b.key, b.text, strict=True)], columns=["key", "title", "abstract", "sections"])
-
-    return pages.where("text is not null").select(F.col("key").cast("string").alias("key"), "text").mapInPandas(run, f"key string, {SECTIONS}")
+            if not listed:
+                rows = [(k, *page_sections(t)) for k, t in zip(b.key, b.text, strict=True)]
+            else:
+                rows = []
+                for k, own, toc in zip(b.key, b.pages, b.contents, strict=True):
+                    own = [p or "" for p in own]
+                    title, abstract, sections = page_sections("\n".join(own))
+                    if toc is not None and len(toc):
+                        sections = contents_sections(own, [(int(e["level"]), e["heading"] or "", int(e["page"])) for e in toc])
+                        abstract = page_abstract("\n".join(own), sections)
+                    rows.append((k, title, abstract, sections))
+            yield pd.DataFrame(rows, columns=["key", "title", "abstract", "sections"])
+
+    cols = ["pages", "contents"] if listed else ["text"]
+    return pages.where(F.col(cols[0]).isNotNull()).select(F.col("key").cast("string").alias("key"), *cols).mapInPandas(run, f"key string, {SECTIONS}")
 
 
 def first_source(sources: DataFrame, order: tuple[str, ...] = ("tex", "pdf", "abstract")) -> DataFrame:

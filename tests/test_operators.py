@@ -194,6 +194,58 @@ def test_greedy_batches_equal_a_loop(spark):
     assert got == want
 
 
+def test_batches_say_what_they_omit(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 99, 6, 4, 8])] + [(None, 0, None)], "g string, i int, s int")
+    got = {(r.g, r.i): (r.batch, r.omitted) for r in W.greedy_batches(df, "g", F.col("i"), "s", 10, 2).collect()}
+    assert got == {("g", 0): (0, None), ("g", 1): (None, "exceeds_batch"), ("g", 2): (1, None), ("g", 3): (1, None), ("g", 4): (None, "budget"), (None, 0): (0, None)}
+
+
+def test_long_pages_go_on(spark):
+    rows = [("c", f"w{i:02d}", "method", f"t{i}", f"k{i:02d}", f"e{i}") for i in range(40)]
+    files = {r.file: r.content for r in W.render_bundle(spark.createDataFrame(rows, "section string, claim_id string, kind string, text string, key string, ref string"), lines=10).collect()}
+    assert {"references.md", "references-3.md", "index.md"} <= set(files) and files["references-3.md"].startswith("31. k30")
+    assert sum(c.count("\n- ") for f, c in files.items() if f.startswith("section-")) == 40 and "(references-3.md)" in "".join(files.values())
+
+
+def test_figures_of_claims_and_records(spark):
+    c = spark.createDataFrame([("structurally_validated",), ("rejected",), ("rejected",)], "status string")
+    assert tuple(M.citation_keep_rate(c).first()) == (1, 3, 0.333) and tuple(M.citation_keep_rate(c.limit(0)).first()) == (0, 0, None)
+    r = spark.createDataFrame([("ok", "m", ["r"]), ("ok", "m", []), ("ok", None, ["r"]), ("degraded", "m", ["r"])], "status string, method string, results array<string>")
+    assert M.completeness(r).first()[0] == 0.25 and M.completeness(r.limit(0)).first()[0] == 0.0
+    lab = spark.createDataFrame([("supported",), ("unsupported",), ("supported",)], "label string")
+    assert tuple(M.support_shares(lab).first()) == (0.667, 0.0, 0.333, 3) and M.support_shares(lab.limit(0)).first().supported == 0.0
+
+
+def test_cluster_quality_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 5))
+    rows = [(f"k{i}", f"c{min(i % 7, 5)}" if i else "alone", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [("zero", "c0", [0.0] * 5), ("null", "c0", None)], "key string, cluster string, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, names = 1 - u @ u.T, np.array([r[1] for r in rows])
+    for block in (8192, 9):
+        got = {r.cluster: r for r in V.cluster_quality(df, block).collect()}
+        assert set(got) == set(names)
+        for c, r in got.items():
+            own = names == c
+            assert r.size == own.sum() and r.nearest_other == pytest.approx(d[own][:, ~own].min())
+            if own.sum() > 1:
+                assert r.mean_within == pytest.approx(d[own][:, own].sum() / (own.sum() * (own.sum() - 1)))
+                s = []
+                for i in np.flatnonzero(own):
+                    a = d[i, own].sum() / (own.sum() - 1)
+                    b = min(d[i, names == o].mean() for o in set(names) - {c})
+                    s.append((b - a) / max(a, b))
+                assert r.silhouette == pytest.approx(np.mean(s))
+            else:
+                assert r.mean_within is None and r.silhouette == 0.0
+    assert V.cluster_quality(df.limit(0)).count() == 0
+    one = V.cluster_summary(V.cluster_quality(df.where("cluster = 'c1'"))).first()
+    assert one.silhouette is None and one.silhouette_reason and one.n_clusters == 1
+
+
 def test_bundle_links(spark):
     slots = spark.createDataFrame([("c", "w1", "method", "uses [x]", "k1", "e1"), ("gaps", "w2", "limitation", "weak", "k2", "e2")], "section string, claim_id string, kind string, text string, key string, ref string")
     files = {r.file: r.content for r in W.render_bundle(slots).collect()}
@@ -262,7 +314,13 @@ def test_archives_and_tex(spark):
     assert r.title == "A Big Title" and r.abstract == "Sum" and [(s.heading, s.level) for s in r.sections] == [("Preamble", 1), ("Intro", 1), ("Deep", 2)]
     pages = spark.createDataFrame([("q", "A Title\n\nAbstract\nshort\n1 Introduction\nbody\nReferences\nx"), ("z", "")], "key string, text string")
     got = {x.key: x for x in P.parse_pages(pages).collect()}
-    assert got["q"].abstract == "short" and [s.heading for s in got["q"].sections] == ["1 Introduction", "References"] and got["z"].sections == []
+    assert got["q"].abstract == "short" and [s.heading for s in got["q"].sections] == ["Preamble", "Abstract", "1 Introduction", "References"] and got["z"].sections == []
+    body = "Graph Pruning of Things\nmore\nAbstract: we prune\n3 Graph Pruning\nwe cut ed-\nges\n3.1. Cutting deeper\ntext\nfunctional 4 x\n"
+    got = P.parse_pages(spark.createDataFrame([("n", body)], "key string, text string")).first()
+    assert got.title == "Graph Pruning of Things" and [(s.heading, s.text) for s in got.sections][1:] == [("3 Graph Pruning", "we cut edges"), ("3.1. Cutting deeper", "text functional 4 x")]
+    listed = spark.createDataFrame([("c", ["Front page of a paper", "Methods we use\nthem", "End"], [(1, "Methods", 2), (2, "Last", 3), (1, "Gone", 9)]), ("n", None, None)], "key string, pages array<string>, contents array<struct<level:int,heading:string,page:int>>")
+    got = P.parse_pages(listed).collect()
+    assert [(s.heading, s.level, s.text) for s in got[0].sections] == [("Methods", 1, "we use them"), ("Last", 2, "End")] and len(got) == 1
 
 
 def test_quota_replay_and_stream(spark, tmp_path):
