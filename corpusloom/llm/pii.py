@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,15 @@ ID_CUE = re.compile(
     r"(?i)(?:passport|passeport|pasaporte|reisepass|ausweis|social security|\bssn\b|tax (?:no|number|id)|steuer|\bni number|\bnino\b|national id|national insurance|insurance n|personnel|personal(?:nummer|-nr)|employee_?id|employee n|staff (?:card|no|id|number)|matric|matrikel"
     r"|student (?:no|id|number|card)|\bid on file|\bpayroll\b|\bhr wants|\bdni\b|\bnie\b|\bnif\b|sécurité sociale|seguridad social|numéro fiscal|carte d.identité|licen[cs]e n|badge|identity (?:card|no|number)|id[- ]card|sozialversicherung|versicherungs|\"(?:employee|staff|student|national)_id\")[^\d\n]{0,24}$"
 )
+# One of these stands in whatever ID_CUE finds.
+ID_STEMS = ("pass", "pasaporte", "ausweis", "social", "ssn", "tax", "steuer", "ni number", "nino", "national", "insurance", "person", "employee", "staff", "matri", "student", "id on file", "payroll", "hr wants", "dni", "nie", "nif", "fiscal", "carte", "licen", "badge", "identity", "id card", "id-card", "versicherung")
+
+
+def _id_cue(before: str) -> re.Match | None:
+    low = before.lower()
+    return ID_CUE.search(before) if any(x in low for x in ID_STEMS) else None
+
+
 ID_AFTER = re.compile(r"(?i)^[ ,)]{0,2}(?:is my|ist meine|est mon|es mi)[ ](?:NI|passport|social|tax|national|staff|student|steuer|DNI)")
 NOT_PERSON = re.compile(r"(?i)\b(?:build|run|run id|ticket|checkpoint|grant|grant no|seeds?|isbn\S*|doi|arxiv|figure|table|release|version|issue|commit|order|invoice|box|room)[ :.#=]*(?:[A-Z]{1,2})?$")
 PHONE_CUE = re.compile(r"(?i)(?:\bph\.?|phones?|tel\.?|telephone|telefon|teléfono|téléphone|mobile|mobil|móvil|portable|fax|call(?: me)?(?: on| at)?|\bT|office line|\bline|handy|durchwahl|numéro est le|número es el|nummer ist|nummer lautet|reach me(?: on| at)?|ring(?: me)?(?: on| at)?|whatsapp|cell|dial|text me (?:on|at)|by phone)[ :=.]*$")
@@ -135,6 +145,12 @@ def count_around_names(rows: DataFrame) -> DataFrame:
         found: dict[str, Counter] = defaultdict(Counter)
 
         def rows_of() -> pd.DataFrame:
+            for k in ("small", "s_small"):  # tokens become words only once for each different one
+                small: Counter = Counter()
+                for token, n in found.pop(k, {}).items():
+                    for w in (token,) if token.islower() and token.isalpha() else _SMALL.findall(token):
+                        small[w] += n
+                found[k] = small
             out = [(k, *(w if isinstance(w, tuple) else (w, "")), n) for k, own in found.items() for w, n in own.items()]
             found.clear()
             return pd.DataFrame([(k, x.lower(), y.lower(), n) for k, x, y, n in out], columns=["kind", "word", "following", "n"])
@@ -143,14 +159,14 @@ def count_around_names(rows: DataFrame) -> DataFrame:
             for t, sampled in zip(b.text, b.sampled, strict=True):
                 if MAYBE_EMAIL.search(t):
                     t = EMAIL.sub(" ", t)
-                pairs, small = _PAIR.findall(t), _SMALL.findall(t)
+                pairs, tokens = _PAIR.findall(t), t.split()
                 found["pair"].update(pairs)
-                found["small"].update(small)
+                found["small"].update(tokens)
                 found["greeted"].update(_GREETED.findall(t))
                 found["alone"].update(_ALONE.findall(t))
                 if sampled:
                     found["s_pair"].update(pairs)
-                    found["s_small"].update(small)
+                    found["s_small"].update(tokens)
                     found["s_begins"].update(_BEGINS.findall(t))
                 if sum(map(len, found.values())) > 200_000:
                     yield rows_of()
@@ -286,8 +302,8 @@ class Finder:
                     continue
             elif text[at - len(word) : at - len(word) + 1].isalnum():
                 continue
-            start, end = max(text.rfind("\n\n", 0, at) + 2, done) if "\n\n" in text[:at] else done, text.find("\n\n", at)
-            done = end if end >= 0 else len(text)
+            before, end = text.rfind("\n\n", done, at), text.find("\n\n", at)
+            start, done = done if before < 0 else before + 2, end if end >= 0 else len(text)
             yield from ADDRESS.finditer(text, start, done)
 
     def _emails(self, text: str) -> list[tuple[str, int, int, str]]:
@@ -329,13 +345,16 @@ class Finder:
                 continue
             before = text[max(0, a - 40) : a]
             plus = re.match(r"\+|00[1-9]\d[ .-]?\d", m[0])
-            ssn = re.fullmatch(r"\d{3}[ -]\d{2}[ -]\d{4}|\d{2,3}[/ ]\d{3}[/ ]\d{5}|(?:19|20)\d\d-\d\d-\d\d|97[89]-.*", m[0])
             form = re.fullmatch(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?: ext.*)?|0\d{1,4}[ /-]\d{3,}[ ]?\d*|0\d(?:[ .]\d\d){4}", m[0])
-            cue, other = PHONE_CUE.search(before), NOT_PERSON.search(before[-18:])
-            if ID_CUE.search(before):
-                plus = form = None
             line = text[a - 1 : a] in ("", "\n") and text[b : b + 1] in ("", "\n")
-            out.append(("PHONE", a, b, _votes(plus or None, form or None, cue or None, other and -1, ssn and -1, ID_CUE.search(before) and -1, line or None)))
+            cue = PHONE_CUE.search(before)
+            if not (plus or form or line or cue):
+                continue
+            ssn = re.fullmatch(r"\d{3}[ -]\d{2}[ -]\d{4}|\d{2,3}[/ ]\d{3}[/ ]\d{5}|(?:19|20)\d\d-\d\d-\d\d|97[89]-.*", m[0])
+            other, number = NOT_PERSON.search(before[-18:]), _id_cue(before)
+            if number:
+                plus = form = None
+            out.append(("PHONE", a, b, _votes(plus or None, form or None, cue or None, other and -1, ssn and -1, number and -1, line or None)))
             phones.append((a, b, bool(plus or cue or (form and not other))))
         sure = [(a, b) for a, b, good in phones if good]
         for m in (m for x, y in windows for m in ID.finditer(text, x, y)):
@@ -344,10 +363,11 @@ class Finder:
             if sum(map(str.isdigit, value)) < 5 or _inside(a, b, taken):
                 continue
             before = text[max(0, a - 48) : a]
-            cue, after, other = ID_CUE.search(before), ID_AFTER.search(text[b : b + 30]), NOT_PERSON.search(before[-18:])
+            cue, after = _id_cue(before), ID_AFTER.search(text[b : b + 30])
             form = re.fullmatch(r"\d{3}[ -]\d{2}[ -]\d{4}|[A-Z]{2}[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-Z]|[A-Z]-\d{5}|[A-Z]{1,2}\d{7,8}|\d\dA[A-Z]\d{5}|\d{2,3}[/ ]\d{3}[/ ]\d{5}", value)
             if not (cue or after or form):
                 continue
+            other = NOT_PERSON.search(before[-18:])
             out.append(("ID", a, b, _votes(cue or None, after or None, form or None, other and -1, _inside(a, b, sure) and not cue and -1)))
         return out
 
@@ -520,9 +540,27 @@ def with_phrases(votes: str, phrases: list[str], odds: dict[str, float]) -> str:
 
 def _columns(votes: str, phrases: list[str], value: str) -> list[int]:
     """Columns of a span in the classifier: each vote, two neighbouring votes together, the phrases beside it and its shape."""
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", re.sub(rf"{_U}", "A", value))))
+    shape = _RUN.sub(r"\1", value.translate(_CLASSES))
     parts = [f"v{j}{c}" for j, c in enumerate(votes)] + [f"w{j}{votes[j : j + 2]}" for j in range(len(votes) - 1)] + phrases + [f"s{shape[:24]}"]
-    return [xxhash.xxh32_intdigest(p) % HASHED for p in parts]
+    return [_COLUMNS[p] for p in parts]
+
+
+class _Known(dict):
+    """A function's values by argument, emptied when there are many."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, x):
+        if len(self) > 300_000:
+            self.clear()
+        got = self[x] = self.of(x)
+        return got
+
+
+_RUN = re.compile(r"(.)\1+", re.S)
+_CLASSES = _Known(lambda c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" if chr(c).isalpha() else chr(c))
+_COLUMNS = _Known(lambda p: xxhash.xxh32_intdigest(p) % HASHED)
 
 
 class Classifier:
@@ -563,15 +601,27 @@ def _candidates(docs: DataFrame, given_names: DataFrame, id_column: str, text: s
     shape = learn_shape(counts, given)
     sent = spark.sparkContext.broadcast((shape, given | learn_given(counts, shape), learn_ordinary(counts)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(*sent.value)
         for b in batches:
-            found = [[(*x, t[x[1] : x[2]]) for x in finder.find(t)] if t else [] for t in b.text]
-            b = b.assign(spans=found)
-            yield b if keep_text else b.loc[b.spans.map(len) > 0, ["doc_id", "spans"]]
+            edges, beside, spans, near = [0], [0], [], []
+            for t in b.column("text").to_pylist():
+                for x in finder.find(t) if t else ():
+                    spans.append((*x[:4], t[x[1] : x[2]]))
+                    near += x[4]
+                    beside.append(len(near))
+                edges.append(len(spans))
+            kinds, starts, ends, votes, values = zip(*spans, strict=True) if spans else ((),) * 5
+            words = pa.ListArray.from_arrays(pa.array(beside, pa.int32()), pa.array(near, pa.string()))
+            flat = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(votes, pa.string()), words, pa.array(values, pa.string())], ["kind", "start", "end", "votes", "around", "value"])
+            column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat)
+            if keep_text:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), column], ["doc_id", "text", "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), column], ["doc_id", "spans"]).filter(pa.array(np.diff(edges) > 0))
 
     kind_of = rows.schema["doc_id"].dataType.simpleString()
-    return materialize((rows if keep_text else full).mapInPandas(run, f"doc_id {kind_of}, {'text string, ' if keep_text else ''}spans array<{SPAN}>"), "spans")
+    return materialize((rows if keep_text else full).mapInArrow(run, f"doc_id {kind_of}, {'text string, ' if keep_text else ''}spans array<{SPAN}>"), "spans")
 
 
 def learn(candidates: DataFrame, sample_spans: int = SAMPLE_SPANS) -> dict[str, tuple[dict[str, float], Classifier]]:
