@@ -131,7 +131,7 @@ class Shape:
 _PAIR = re.compile(rf"\b({_U}[a-zß-ÿ]+) (?:{_U}\. )?({_U}[a-zß-ÿ]{{4,}})\b")
 _GREETED = re.compile(rf"^(?:{'|'.join(GREETINGS.split())}) ({_U}[a-zß-ÿ]+),", re.M)
 _ALONE = re.compile(rf"^({_U}[a-zß-ÿ]+)$", re.M)
-_SMALL, _BEGINS = re.compile(r"\b[a-zß-ÿ]{2,}\b"), re.compile(r"(?:^|[.!?] )([A-Z][a-z]{3,}) [a-z]")
+_BEGINS = re.compile(r"(?:^|[.!?] )([A-Z][a-z]{3,}) [a-z]")
 
 
 def count_around_names(rows: DataFrame) -> DataFrame:
@@ -147,8 +147,9 @@ def count_around_names(rows: DataFrame) -> DataFrame:
         def rows_of() -> pd.DataFrame:
             for k in ("small", "s_small"):  # tokens become words only once for each different one
                 small: Counter = Counter()
-                for token, n in found.pop(k, {}).items():
-                    for w in (token,) if token.islower() and token.isalpha() else _SMALL.findall(token):
+                for token, n in found.pop(k, {}).items():  # parts of addresses and of compounds are no words
+                    w = token.strip(_SIGNS)
+                    if len(w) > 1 and w.isalpha() and w.islower():
                         small[w] += n
                 found[k] = small
             out = [(k, *(w if isinstance(w, tuple) else (w, "")), n) for k, own in found.items() for w, n in own.items()]
@@ -157,8 +158,6 @@ def count_around_names(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for t, sampled in zip(b.text, b.sampled, strict=True):
-                if MAYBE_EMAIL.search(t):
-                    t = EMAIL.sub(" ", t)
                 pairs, tokens = _PAIR.findall(t), t.split()
                 found["pair"].update(pairs)
                 found["small"].update(tokens)
