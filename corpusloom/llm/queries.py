@@ -78,6 +78,17 @@ def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack(_read(spark, folder, "documents"), windows), windows)
 
 
+def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every window the texts that were packed whole, without a gap between their pieces, and the containers beyond its capacity."""
+    windows = _read(spark, folder, "context_window")
+    packed = packing.pack(_read(spark, folder, "documents"), windows)
+    whole = packed.groupBy("window_name", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count_distinct("piece").alias("pieces"), F.count("*").alias("rows"))
+    whole = whole.groupBy("window_name").agg(F.count_if((F.col("tokens") == F.col("end")) & (F.col("pieces") == F.col("rows"))).alias("whole_texts"))
+    full = packed.groupBy("window_name", "container").agg(F.sum("n_tokens").alias("held")).join(F.broadcast(windows.select("window_name", "capacity_tokens").distinct()), "window_name")
+    full = full.groupBy("window_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("too_full"))
+    return whole.join(full, "window_name")
+
+
 def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "source_weight"))[0]
 
@@ -124,5 +135,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_PAIRS}, {_GROUPS} SELECT a AS paper_key_a, b AS paper_key_b FROM reach WHERE a < b AND a IN (SELECT a FROM good)",
         "p4_found": f"{_PAIRS}, {_TOP} SELECT DISTINCT least(a, b) AS paper_key_a, greatest(a, b) AS paper_key_b FROM top",
+        "p5_packed": "SELECT window_name, count(*) FILTER (WHERE text <> '') AS whole_texts, 0::BIGINT AS too_full FROM documents, (SELECT DISTINCT window_name FROM context_window) GROUP BY 1",
         "p4_neighbours": f"{_PAIRS}, {_TOP} SELECT a AS paper_key, b AS near_key, round(s, 6) AS broad_score, r::INT AS rank FROM top",
     }
