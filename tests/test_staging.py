@@ -55,6 +55,17 @@ def test_windows_cut_into_days_equal_whole_ones(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
 
 
+def test_windows_are_running_sums(spark):
+    rows = [("a", 10, 1.0), ("a", 20, float("inf")), ("a", 69, 2.0), ("a", 70, 3.0), ("a", 80, 4.0), ("a", 86_410, 5.0), ("a", None, 6.0), ("a", None, 7.0), (None, 15, None)]
+    e = spark.createDataFrame(rows, "grp string, s long, tokens double").withColumn("ts", F.timestamp_seconds("s"))
+    used = Q.window_use(e)
+    got = {(r.s, r.tokens): (r.minute_requests, r.minute_tokens, r.day_requests) for r in used.collect()}
+    inf = float("inf")
+    assert got == {(10, 1.0): (1, 1.0, 1), (20, inf): (2, inf, 2), (69, 2.0): (3, inf, 3), (70, 3.0): (3, inf, 4), (80, 4.0): (3, 9.0, 5), (86_410, 5.0): (1, 5.0, 5), (None, 6.0): (2, 13.0, 2), (None, 7.0): (2, 13.0, 2), (15, None): (1, 0.0, 1)}
+    # A frame that begins a number of rows or seconds back is summed anew for every row: time in proportion to rows times what a window holds.
+    assert "RangeFrame, -" not in used._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_admission_equals_a_search_of_the_past():
     rng = random.Random(9)
     q = Q.Quota(rpm=6, tpm=60, rpd=40, safety=1.0, min_interval_s=0)
