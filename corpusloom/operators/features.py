@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -51,19 +53,87 @@ def two_channels(text: DataFrame, keywords: DataFrame, weight: float = 0.5) -> D
     return both.join(length, "key").select("key", "channel", "term", (F.col("weight") / F.col("len")).alias("weight"))
 
 
-def similar_pairs(features: DataFrame, least: float, by: tuple[str, ...] = ("channel", "term")) -> DataFrame:
-    """(a, b, similarity) for a < b with similarity of least or more, exact, by prefix filtering.
+def similar_pairs(features: DataFrame, least: float, by: tuple[str, ...] = ("channel", "term"), block: int = 8000) -> DataFrame:
+    """(a, b, similarity) for a < b with similarity of least (above 0) or more, exact.
 
-    Terms are ordered by how many rows hold them, rarest first. Two rows of length 1 can only reach `least` if they share a term outside the
-    suffix of either row whose weights have a length below it, so only rows that share such a term are compared.
+    Rows are cut into blocks of at most about `block`, and two blocks meet in one task (see _block_pairs). Terms that one row alone holds are left out, and a term that
+    more than a twentieth of all rows hold is a common one, of which there are at most 20 times as many as a row has terms.
     """
-    f = materialize(features.groupBy("key", *by).agg(F.sum("weight").alias("weight")), "features")  # read five times
-    df = f.groupBy(*by).agg(F.count("*").alias("df"))
-    w = Window.partitionBy("key").orderBy(F.desc("df"), *by).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = f.join(df, list(by)).withColumn("suffix", F.sum(F.col("weight") * F.col("weight")).over(w)).where(F.col("suffix") >= least * least - 1e-9).where("df > 1").select("key", *by)
-    pairs = prefix.withColumnRenamed("key", "a").join(prefix.withColumnRenamed("key", "b"), list(by)).where("a < b").select("a", "b").distinct()
-    left = pairs.join(f.select(F.col("key").alias("a"), *by, F.col("weight").alias("wa")), "a")
-    return left.join(f.select(F.col("key").alias("b"), *by, F.col("weight").alias("wb")), ["b", *by]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= least)
+    f = materialize(features.where("key is not null").groupBy("key", *by).agg(F.sum("weight").alias("weight")).where("weight is not null"), "features")  # read three times
+    n = f.agg(F.count_distinct("key")).first()[0]
+    df = f.groupBy(*by).agg(F.count("*").alias("df")).where("df > 1").withColumn("id", F.monotonically_increasing_id())
+    df = materialize(df.select(*by, F.when(F.col("df") > max(20, n / 20), -1 - F.col("id")).otherwise(F.col("id")).alias("id")), "terms")  # numbers must not change; common ones are negative
+    blocks = max(1, math.ceil(n / min(block, max(1000, n // 12))))
+    rows = f.join(df, list(by)).groupBy("key").agg(F.collect_list(F.struct("id", "weight")).alias("terms")).withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "terms")
+    kind = f.schema["key"].dataType
+    spark = f.sparkSession
+    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "i", "j")  # a fixed number, which AQE leaves as it is
+    found = met.groupBy("i", "j").applyInArrow(lambda t: _block_pairs(t, least), f"x {kind.simpleString()}, y {kind.simpleString()}, similarity double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def _block_pairs(t: pa.Table, least: float, cells: int = 4_000_000) -> pa.Table:
+    """(x, y, similarity) of the pairs between two blocks (or within one) that reach least.
+
+    Sums over the terms that are not common come from an inverted index, for a strip of rows at a time. What common terms can add is at most the product of
+    the lengths of both rows' common parts; their product proper is only computed for pairs that can still reach least.
+    """
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    sides = [t.filter(pc.equal(t.column("own"), k)) for k in (i, j)]
+    cut = []
+    for side in sides:
+        lists = side.column("terms").combine_chunks()
+        flat = lists.flatten()
+        ids, w = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "weight"))
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        common = ids < 0
+        cut.append((ids[~common], row[~common], w[~common], ids[common], row[common], w[common]))
+    na, nb = (side.num_rows for side in sides)
+    names = np.intersect1d(cut[0][3], cut[1][3])
+    dense = []
+    for size, (*_, ids, row, w) in zip((na, nb), cut, strict=True):
+        d = np.zeros((size, len(names)))
+        if len(names):
+            at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
+            held = names[at] == ids
+            d[row[held], at[held]] = w[held]
+        dense.append(d)
+    length = [np.sqrt((d * d).sum(1)) for d in dense]
+    order = np.argsort(cut[1][0], kind="stable")
+    index, place, weight = (x[order] for x in cut[1][:3])
+    by_row = np.argsort(cut[0][1], kind="stable")
+    ids, row, w = (x[by_row] for x in cut[0][:3])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, cells // max(1, nb))
+    for start in range(0, na if nb else 0, step):
+        end = min(na, start + step)
+        lo, hi = np.searchsorted(row, [start, end])
+        first = np.searchsorted(index, ids[lo:hi])
+        times = np.searchsorted(index, ids[lo:hi], "right") - first
+        s = np.zeros((end - start) * nb)
+        upto = np.cumsum(times)
+        pieces = [0, *(np.flatnonzero(np.diff(upto // cells)) + 1).tolist(), len(times)]  # bounds what is laid out at once
+        for p, q in zip(pieces, pieces[1:], strict=False):
+            k = times[p:q]
+            total = int(k.sum())
+            if total:
+                at = np.arange(total) + np.repeat(first[p:q] - (np.cumsum(k) - k), k)
+                s += np.bincount(np.repeat(row[lo:hi][p:q] - start, k) * nb + place[at], np.repeat(w[lo:hi][p:q], k) * weight[at], len(s))
+        s = s.reshape(end - start, nb)
+        x, y = np.nonzero(s + length[0][start:end, None] * length[1] >= least - 1e-9)
+        if 50 * len(x) > s.size:
+            s += dense[0][start:end] @ dense[1].T
+            v = s[x, y]
+        else:
+            v = s[x, y]
+            for p in range(0, len(x), 4096):
+                v[p : p + 4096] += np.einsum("ij,ij->i", dense[0][start + x[p : p + 4096]], dense[1][y[p : p + 4096]])
+        x = x + start
+        keep = (v >= least) & ((x < y) if i == j else True)
+        out.append((x[keep], y[keep], v[keep]))
+    x, y, v = (np.concatenate(c) if out else np.zeros(0, int) for c in (zip(*out, strict=True) if out else ([], [], [])))
+    return pa.Table.from_arrays([sides[0].column("key").take(pa.array(x)), sides[1].column("key").take(pa.array(y)), pa.array(v, pa.float64())], ["x", "y", "similarity"])
 
 
 def fold_text(x: str | None) -> str:

@@ -1,5 +1,6 @@
 import io
 import math
+import random
 import tarfile
 
 import numpy as np
@@ -142,6 +143,22 @@ def test_similar_pairs_against_all_pairs(spark):
     assert {(r.a, r.b) for r in V.similar_pairs(f, 0.5, ("term",)).collect()} == want
 
 
+def test_similar_pairs_meet_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(f"d{i:03}", rng.choice("abcdef") if i % 4 else "a", f"t{rng.randrange(60)}" if rng.random() < 0.4 else f"c{rng.randrange(4)}", rng.choice([0.5, 1.0, 2.0, -0.5])) for i in range(150) for _ in range(6)]
+    f = spark.createDataFrame(rows + [(None, "a", "t1", 1.0)], "key string, channel string, term string, weight double")
+    own = {}
+    for k, c, t, w in rows:
+        own.setdefault(k, {}).setdefault((c, t), []).append(w)
+    own = {k: {t: sum(w) for t, w in v.items()} for k, v in own.items()}
+    want = {(a, b): sum(x * own[b].get(t, 0) for t, x in own[a].items()) for a in own for b in own if a < b}
+    want = {k: round(v, 9) for k, v in want.items() if v >= 0.8}
+    for block in (8000, 40):
+        found = V.similar_pairs(f, 0.8, block=block)
+        assert {(r.a, r.b): round(r.similarity, 9) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]  # above the blocks: no row for each term of each pair
+
+
 def test_claims(spark):
     units = spark.createDataFrame([("2101.00001v1", "method", None, "method", "m1"), ("2101.00002v1", "method", None, "method", "m2"), ("2101.00003v1", "dataset", 0, "dataset", "x")], "key string, field string, ord int, kind string, text string")
     u = E.registry(units)
