@@ -1,3 +1,5 @@
+import random
+
 from corpusloom.llm import pii
 
 GIVEN = [("Susan", "Sue"), ("Theodore", "Theo"), ("Oliver", "Ollie")]
@@ -95,3 +97,19 @@ def test_given_names_are_learned_from_all_whole_texts(spark):
     for most in (5_000, 30):  # every text in the sample of the shape model, or about half of them
         got = pii.find_spans(docs, given, shape_texts=most).where("kind = 'NAME' and doc_id = 900").collect()
         assert [r.value for r in got] == ["Ivo"]
+
+
+def test_emails_from_their_signs_equal_a_search_of_the_whole_text():
+    rng = random.Random(1)
+    parts = ["a", "bob", "x.y", "@", " @ ", " at ", "(at)", " [at] ", "{ AT }", " dot ", ".", "com", " ", "de", "+", "-", "_", "é", "²", "at", "AT", "\n", "(ät)", "(dot)", "dot", "@@", "1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 14))) for _ in range(20_000)]
+    want = [[m.span() for m in pii.EMAIL.finditer(t)] if pii.MAYBE_EMAIL.search(t) else [] for t in texts]
+    assert sum(map(bool, want)) > 100
+    assert [[m.span() for m in pii._emails_in(t)] for t in texts] == want
+
+
+def test_patterns_look_at_their_first_character():
+    """So that a stretch of small letters costs one look a character, not one for every way to write an address or a number."""
+    for pattern in (pii.ADDRESS, pii.PHONE, pii.ID):
+        assert pattern.pattern.startswith("(?=[")
+    assert [m[0] for m in pii.ADDRESS.finditer("at Elm House, High Street, Leeds or ٣ Elm Road, York, C/ Mayor 4, 28013 Madrid")] == ["Elm House, High Street, Leeds", "٣ Elm Road, York", "C/ Mayor 4, 28013 Madrid"]
