@@ -211,12 +211,14 @@ def link_spellings(hits: DataFrame, nicknames: DataFrame, column: str = "authors
     person = names.where("kind in ('full', 'short', 'initial')")
 
     used = person.where("kind = 'full'").groupBy("rest").agg(F.count_distinct("core").alias("cores"), F.count_if(F.col("middle") != "").alias("with_middle"))
+    used = materialize(used, "used")  # each step is a table: one plan over all of them holds hundreds of operators, and the driver's memory with them
     formal = used.where("with_middle > 0").select(F.col("rest").alias("formal")).union(table.select("formal")).distinct()
     formal = formal.join(used.select(F.col("rest").alias("formal"), "cores"), "formal", "left").fillna(1, ["cores"])
+    formal = materialize(formal, "formal")
     typed = used.select("rest", "cores").join(formal.select(F.col("formal").alias("rest")), "rest", "left_anti")
     one = F.lit("")
     misspelt = segment_join(typed.select(one.alias("block"), F.col("rest").alias("name")), formal.where("length(formal) > 3").select(one.alias("block"), F.col("formal").alias("name")), k)
-    misspelt = misspelt.select(F.col("a").alias("rest"), F.col("b").alias("formal"))
+    misspelt = materialize(misspelt.select(F.col("a").alias("rest"), F.col("b").alias("formal")), "misspelt")
     unknown = typed.join(table.select("rest").distinct(), "rest", "left_anti")
     with_formal = person.where("kind = 'full'").join(formal.select(F.col("formal").alias("rest")), "rest", "left_semi").select("core", F.col("rest").alias("formal")).distinct()
     together = person.where("kind = 'full'").join(unknown, "rest").select("core", "rest", "cores").distinct().join(with_formal, "core").groupBy("rest", "cores", "formal").agg(F.count("*").alias("both"))
@@ -236,7 +238,7 @@ def link_spellings(hits: DataFrame, nicknames: DataFrame, column: str = "authors
 
     # Near surnames with the same rest: the one with fewer forms is a misspelling of the other.
     at = lambda t: t.select(F.concat_ws("|", "sort", "rest").alias("block"), F.col("core").alias("name"))
-    near = segment_join(at(anchor), at(anchor), k)
+    near = materialize(segment_join(at(anchor), at(anchor), k), "near")
     side = lambda s: anchor.select(F.concat_ws("|", "sort", "rest").alias("block"), F.col("core").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("anchor", "n", "forms", "middle")])
     near = near.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
     agree = (F.col("middle_a") == "") | (F.col("middle_b") == "") | (F.col("middle_a") == F.col("middle_b"))
@@ -252,10 +254,11 @@ def link_spellings(hits: DataFrame, nicknames: DataFrame, column: str = "authors
     asks = asks.withColumn("block", F.concat(F.lit("p|"), F.coalesce(F.substring("formal", 1, 1), F.col("initial"))))
     asks = asks.unionByName(names.where("kind = 'org'").withColumn("formal", F.lit(None).cast("string")).withColumn("block", F.concat(F.lit("o|"), "rest")))
     asks = asks.withColumn("part", F.explode(F.when(F.col("core").contains(" "), F.array_distinct(F.concat(F.array("core"), F.split("core", " ")))).otherwise(F.array("core"))))
-    asks = asks.select("spelling", "kind", "core", "part", "rest", "initial", "middle", "formal", "block")
+    asks = materialize(asks.select("spelling", "kind", "core", "part", "rest", "initial", "middle", "formal", "block"), "asks")
     to = anchor.withColumn("block", F.when(F.col("sort") == "p", F.concat(F.lit("p|"), F.substring("rest", 1, 1))).otherwise(F.concat(F.lit("o|"), "rest")))
     to = to.select("block", F.col("core").alias("to_core"), F.col("rest").alias("to_rest"), F.col("middle").alias("to_middle"), "n", "anchor")
     pairs = segment_join(asks.select("block", F.col("part").alias("name")), to.select("block", F.col("to_core").alias("name")), k, same=True)
+    pairs = materialize(pairs, "pairs")
     offered = asks.join(pairs.select("block", F.col("a").alias("part"), F.col("b").alias("to_core")), ["block", "part"]).join(to, ["block", "to_core"])
     fits = (F.col("formal") == F.col("to_rest")) | ((F.col("kind") == "short") & F.col("to_rest").startswith(F.col("rest"))) | (F.col("kind") == "initial") | (F.col("kind") == "org")
     fits &= (F.col("middle") == "") | (F.col("to_middle") == "") | (F.col("middle") == F.col("to_middle")) | (F.col("kind") == "org")
@@ -264,17 +267,18 @@ def link_spellings(hits: DataFrame, nicknames: DataFrame, column: str = "authors
     # a formal name in full only stands for itself; a short form that is a formal name elsewhere can stand for both
     choice = Window.partitionBy("spelling").orderBy(F.desc(near_core), F.desc((F.col("rest") == F.col("to_rest")).cast("int")), F.desc((F.col("middle") == F.col("to_middle")).cast("int")), F.desc("n"), "anchor")
     linked = offered.where(fits & ((F.col("kind") != "org") | (F.col("part") == F.col("to_core")))).withColumn("r", F.row_number().over(choice)).where("r = 1").select("spelling", "anchor")
+    linked = materialize(linked, "chosen")
     for _ in range(2):  # a misspelling of a misspelling moves on once more
         linked = linked.join(moved, "anchor", "left").select("spelling", F.coalesce("to", "anchor").alias("anchor"))
     linked = materialize(linked, "linked")
     # What has no anchor links to spellings with the same surname and first letter of what the given name stands for: the join again, with no edits.
     stands = means.groupBy("rest").agg(F.min("formal").alias("formal"))
     first = F.coalesce(F.substring("formal", 1, 1), F.nullif("initial", F.lit("")), F.col("spelling"))
-    free = names.join(linked, "spelling", "left_anti").join(stands, "rest", "left").select("spelling", "core", first.alias("block"))
+    free = materialize(names.join(linked, "spelling", "left_anti").join(stands, "rest", "left").select("spelling", "core", first.alias("block")), "free")
     # A surname of two words goes to spellings that have one of them alone, the last before the first.
     asked = free.withColumn("part", F.explode(F.when(F.col("core").contains(" "), F.array_distinct(F.concat(F.reverse(F.split("core", " ")), F.array("core")))).otherwise(F.array("core"))))
     met = segment_join(asked.select("block", F.col("part").alias("name")), free.select("block", F.col("core").alias("name")), 0, same=True)
-    met = asked.join(met.select("block", F.col("a").alias("part")), ["block", "part"])
+    met = materialize(asked.join(met.select("block", F.col("a").alias("part")), ["block", "part"]), "met")
     place = F.array_position(F.reverse(F.split("core", " ")), F.col("part"))
     met = met.groupBy("spelling", "block").agg(F.min_by("part", F.when(place > 0, place).otherwise(99)).alias("part"))
     return linked.unionByName(met.select("spelling", F.concat_ws("|", F.lit("f"), "part", "block").alias("anchor"))).select("spelling", F.col("anchor").alias("entity"))

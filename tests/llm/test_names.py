@@ -100,3 +100,12 @@ def test_pairs_of_a_large_entity_are_made_in_blocks(spark):
 
     e = spark.createDataFrame([(f"s{i:03d}", "x") for i in range(60)] * 2, "spelling string, entity string")
     assert pairs_within(e, "entity", "spelling", "a", "b", block=7).count() == 60 * 59 // 2
+
+
+def test_links_are_read_from_tables(spark):
+    """The last plan holds none of the steps before it: plans of hundreds of operators, each with its broadcasts, fill the driver's memory."""
+    df = names.link_spellings(hits(spark, ["Anna Keller", "A. Keller", "Anna Kellre", "Bert Huber"]), nick(spark))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") <= 1
+    found = {r.spelling: r.entity for r in df.collect()}
+    assert len(found) == 4 and found["Anna Keller"] != found["Bert Huber"]
