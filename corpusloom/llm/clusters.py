@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import list_column, materialize, pairs_within, spread, vectors_of
-from corpusloom.llm.vectors import CFTree, entries_for, prepared, salts_of, shard_centres, summarize, to_shards
+from corpusloom.llm.vectors import CFTree, prepared, salts_of, shard_centres, to_shards
 
 #: Most leaves that one agglomeration takes, whose distances need leaves squared: the tree of a shard coarsens its leaves until it has no more.
 WARD_LEAVES = 6000
@@ -86,7 +86,7 @@ def candidates_of(n: np.ndarray, ls: np.ndarray, bounds: tuple[float, ...]) -> t
     return size[keep], total[keep]
 
 
-def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix", bound: float = 0.80, leaf: float = 0.93, copies: int = 3) -> DataFrame:
+def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix", bound: float = 0.80, leaf: float = 0.93, copies: int = 3, reach: int = 8) -> DataFrame:
     """(cluster_id STRING, key STRING, size LONG, mean DOUBLE, vec): the members of every group and their mean cosine to the others.
 
     A group is a largest set of records in which each record's mean cosine to the other members is at least bound; a record
@@ -98,8 +98,7 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
     points, dim, rows = prepared(df, key, vector)
     if not rows:
         return spark.createDataFrame([], "cluster_id string, key string, size long, mean double, vec array<double>")
-    n, ls = summarize(points, dim, entries_for(rows))
-    centres, load = shard_centres(n, ls, rows)
+    centres, load = shard_centres(points, dim, rows)
     salts = salts_of(load)
     salt_of = F.array(*[F.lit(s) for s in salts])
     routed = to_shards(points, centres, copies, "key string, vec array<float>").withColumn("salt", F.pmod(F.xxhash64("key"), F.get(salt_of, F.col("shard"))).cast("int"))
@@ -132,7 +131,8 @@ def group_similar(df: DataFrame, key: str = "paper_key", vector: str = "matrix",
 
     found = routed.groupBy("shard", "salt").applyInArrow(leaves, "shard int, n double, ls array<float>")
     found = materialize(spread(found, "shard").groupBy("shard").applyInArrow(agglomerate, "cid string, centre array<float>"), "candidates")
-    near = to_shards(found, centres, copies, "cid string, centre array<float>", vec="centre")
+    # Members of a group can lie in shards that are not among the nearest of its candidate, the more so the more shards there are.
+    near = to_shards(found, centres, max(copies, reach), "cid string, centre array<float>", vec="centre")
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.get(salt_of, F.col("shard")) - 1)))
 
     def assign(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -139,3 +139,25 @@ def test_two_levels_of_centres_ask_like_one():
 
 def test_the_summary_grows_with_the_rows():
     assert vectors.entries_for(1000) == vectors.SUMMARY_ENTRIES and vectors.entries_for(30_000_000) == 40_000 and vectors.entries_for(10**12) == 2 * vectors.MOST_SHARDS
+
+
+def lone(n, dim=96, seed=4):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_full_tree_does_not_fall_to_a_few_entries():
+    x = lone(12_000)
+    tree = vectors.CFTree(x.shape[1], 0.98, most=500)
+    tree.insert(np.ones(len(x)), x)
+    n, _ = tree.entries()
+    assert 125 <= len(n) <= 500 and n.sum() == len(x)
+
+
+def test_shards_hold_about_what_they_should(spark):
+    x = lone(6000, 24)
+    rows = spark.createDataFrame([(f"k{i:04d}", v) for i, v in enumerate(x.tolist())], "key string, vec array<double>")
+    centres, load = vectors.shard_centres(rows, 24, len(x), 200)
+    assert load.sum() == len(x) and load.max() < 3 * 200 and 15 <= len(load) <= 60
+    real = np.bincount(centres.nearest(x, 1)[0][:, 0], minlength=len(load))
+    assert abs(real - load).sum() < 0.3 * len(x)
