@@ -161,3 +161,15 @@ def test_shards_hold_about_what_they_should(spark):
     assert load.sum() == len(x) and load.max() < 3 * 200 and 15 <= len(load) <= 60
     real = np.bincount(centres.nearest(x, 1)[0][:, 0], minlength=len(load))
     assert abs(real - load).sum() < 0.3 * len(x)
+
+
+def test_one_shard_gives_all_neighbours(spark):
+    x = lone(1500, 48)
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    got = {}
+    for r in neighbours.most_similar(table(spark, [(f"k{i:04d}", v) for i, v in enumerate(x.tolist())]), least=-1.0).collect():
+        got.setdefault(int(r.key[1:]), []).append((r.rank, int(r.other[1:])))
+    assert all([o for _, o in sorted(got[i])] == np.argsort(-s[i])[:5].tolist() for i in range(len(x)))
