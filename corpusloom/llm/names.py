@@ -157,7 +157,8 @@ def with_kinds(names: DataFrame, given: DataFrame) -> DataFrame:
     """names (spelling, n) with kind, core, rest, initial and middle. given is (word): known given names.
 
     Whether three words or more name a person or an organisation is decided by the other spellings: an organisation shares its last word and one more with other
-    long spellings, whose first words differ, and neither its first nor its last word is a given name (known, or first of a spelling of two words).
+    long spellings, whose first words differ, and neither its first nor its last word is a given name (known, or first of a spelling of two words). A word that
+    begins another long spelling with the same last word doesn't count as shared: two given names of one person stand in either order.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,11 +172,12 @@ def with_kinds(names: DataFrame, given: DataFrame) -> DataFrame:
 
     rows = materialize(names.select("spelling", "n").mapInPandas(cut, "spelling string, n long, long array<string>, begins string"), "cut")
     first = rows.where("length(begins) > 1").select(F.col("begins").alias("word")).unionByName(given.select("word")).distinct().withColumn("given", F.lit(True))
-    each = rows.where("size(long) > 0").select("spelling", F.element_at("long", 1).alias("first"), F.posexplode("long").alias("at", "word"), F.size("long").alias("size"))
+    each = rows.where("size(long) > 0").select("spelling", F.element_at("long", 1).alias("first"), F.element_at("long", -1).alias("ends"), F.posexplode("long").alias("at", "word"), F.size("long").alias("size"))
+    swapped = each.where("at = 0").select("word", "ends").distinct().withColumn("swapped", F.lit(True))
     shared = each.groupBy("word").agg(F.count_distinct("first").alias("firsts")).where("firsts > 1")
     edge = (F.col("at") == 0) | (F.col("at") == F.col("size") - 1)
-    told = each.join(shared, "word", "left").join(first, "word", "left").groupBy("spelling").agg(
-        F.count_if(F.col("firsts").isNotNull() & (F.col("at") > 0)).alias("shared"), F.max(F.col("firsts").isNotNull() & (F.col("at") == F.col("size") - 1)).alias("last"), F.coalesce(F.max(F.col("given") & edge), F.lit(False)).alias("person")
+    told = each.join(shared, "word", "left").join(first, "word", "left").join(swapped, ["word", "ends"], "left").groupBy("spelling").agg(
+        F.count_if(F.col("firsts").isNotNull() & (F.col("at") > 0) & F.col("swapped").isNull()).alias("shared"), F.max(F.col("firsts").isNotNull() & (F.col("at") == F.col("size") - 1)).alias("last"), F.coalesce(F.max(F.col("given") & edge), F.lit(False)).alias("person")
     )
     told = told.where("shared > 1 and last and not person").select("spelling", F.lit(True).alias("org"))
 
