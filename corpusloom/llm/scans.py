@@ -17,7 +17,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +43,13 @@ SAME_SHAPE = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("vv", "w"), (
 MEANT = {"m": ["ni", "in", "nn"], "y": ["v"], "v": ["y"], "a": ["o"], "o": ["a", "c", "e"], "k": ["lc"], "t": ["l"], "l": ["t"], "c": ["o"], "s": ["a"], "|": ["l", "i"], "!": ["l", "i"], "1": ["l", "i"], "0": ["o"], "5": ["s"], "6": ["b"], "9": ["g"], "8": ["b"]}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 HYPHENS = "-­‐‑¬"
+NO_SIGNS = dict.fromkeys(map(ord, " \n\x02­"))
+LAST = "\U0010ffff"  # after all characters of words
 STOPS = " \n\x02" + HYPHENS  # what can end a word that isn't split
 
 TOKEN = re.compile(r"[^\W_]+(?:[^\s,.;:?\"()\[\]{}<>@/=+*—–]*[^\W_|])?[|!]?(?:[^\W_]+)?|[|!][^\W_]+")
 WORDS = re.compile(r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*")
-BROKEN = re.compile(rf"\S+[{HYPHENS}][ \t]*\n\s*\S*")
+BROKEN_END = re.compile(rf"[{HYPHENS}](?<=\S[{HYPHENS}])[ \t]*\n\s*\S*")  # a hyphen at a line end, with the token after it
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TAIL = re.compile(r"[^\W_](?:[^\s,.;:?\"()\[\]{}<>@/=+*—–]*)$")
 _WORD_TAIL, _WORD_HEAD = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
@@ -79,12 +81,40 @@ def _confusions() -> dict[str, list[tuple[str, float]]]:
 CONFUSIONS = _confusions()
 
 
+def whole_tokens(text: str) -> list[str]:
+    """What stands between blanks; tokens broken at line ends are left out, with the tokens they go on in."""
+    parts, at = [], 0
+    for m in BROKEN_END.finditer(text):
+        before = text[at : m.start()].rsplit(None, 1)
+        if len(before) == 2:
+            parts.append(before[0])
+        at = m.end()
+    return " ".join([*parts, text[at:]]).split()
+
+
+def words_of(tokens: Counter) -> Counter:
+    """The words of counted tokens; a word never goes over a blank, so each different token is looked at once."""
+    found: Counter = Counter()
+    for t, n in tokens.items():
+        for w in (t,) if t.isalpha() else WORDS.findall(t):
+            found[w] += n
+    return found
+
+
 def count_words(texts: Iterator[str]) -> Counter:
     """Whole words of texts; words broken at line ends are left out."""
     found: Counter = Counter()
     for t in texts:
-        found.update(WORDS.findall(BROKEN.sub(" ", t)))
-    return found
+        found.update(whole_tokens(t))
+    return words_of(found)
+
+
+#: A step of a prefix along the trie: characters read, longer prefix, first word below it, cost of the step, cost of the cheapest word below it. Moves are the
+#: steps over a first misread character, over a further one, and over the character as it stands (one or none).
+Step = tuple[int, str, int, float, float]
+Moves = tuple[list[Step], list[Step], list[Step]]
+#: Costs that differ by less are taken as equal where a way is left because it can't be cheaper.
+SLACK = 1e-9
 
 
 class Decoder:
@@ -96,11 +126,14 @@ class Decoder:
             self.lower[w.lower()] = self.lower.get(w.lower(), 0) + n
         self.log_total = math.log(max(total or sum(vocabulary.values()), 1))
         self.words = sorted(self.lower)  # the trie: the words below a prefix are a range
+        self.counts = [self.lower[w] for w in self.words]
         self.least = self.log_total - math.log(max(self.lower.values(), default=1))
         self.forms: dict[str, list[tuple[int, str]]] = {}
         for w, n in vocabulary.items():
             self.forms.setdefault(w.lower(), []).append((n, w))
         self.memo: dict[str, tuple[float, list[tuple[int, int, str, bool]], bool]] = {}
+        self.moves: dict[str, dict[str, Moves]] = {}  # by the next two characters and the prefix that was read
+        self.held = 0
 
     def known(self, w: str) -> bool:
         return w.lower() in self.lower
@@ -129,9 +162,12 @@ class Decoder:
         low = stream.lower()
         if len(low) != end:  # letters that change their number in small letters
             low = stream
+        if self.held > 100_000:
+            self.moves, self.held = {}, 0
         best = [math.inf] * (end + 1)
         back: list[tuple[int, str, bool, bool] | None] = [None] * (end + 1)  # from, reading, misread, after a lost blank
         best[0] = 0.0
+        most, rest = self._bounds(low)
         for at in range(end):
             here = best[at]
             if here == math.inf:
@@ -153,7 +189,7 @@ class Decoder:
                         best[to], back[to] = here + cost, (at, "", False, False)
             elif enter + self.least >= best[end]:
                 continue
-            for to, word, cost, misread in self._arcs(low, at, best, enter, split):
+            for to, word, cost, misread in self._arcs(low, at, best, enter, split, most, rest):
                 if inside and len(word) < 2:
                     continue
                 if enter + cost < best[to]:
@@ -163,7 +199,7 @@ class Decoder:
             came, word, misread, lost = back[at]
             unknown |= not word and stream[came:at].islower()
             if not word or not misread and word not in (" ", "\n", "-"):  # as it stands, without the signs inside
-                word = "".join(x for x in stream[came:at] if x not in " \n\x02" and x != "­") if not (word and "-" in word and MARKED in stream[came:at]) else stream[came:at].replace(MARKED, "-")
+                word = stream[came:at].translate(NO_SIGNS) if not (word and "-" in word and MARKED in stream[came:at]) else stream[came:at].replace(MARKED, "-")
             elif misread:
                 word = self.cased(word, stream[came:at])
             path.append((came, at, word, misread))
@@ -190,56 +226,107 @@ class Decoder:
             to += 1
         yield to, UNKNOWN + UNKNOWN_LETTER * letters + extra
 
-    def _arcs(self, low: str, start: int, best: list[float], enter: float, split: bool) -> Iterator[tuple[int, str, float, bool]]:
+    def _bounds(self, low: str) -> tuple[float, list[float]]:
+        """What a path costs that reads each token as it stands (infinite if that is open), and from each position on the least that the signs and tokens after it
+        cost: a blank or line end is dropped, or a word begins after it."""
+        most = 0.0
+        for own in low.replace(BREAK, BLANK).split(BLANK):
+            w = own.replace(MARKED, "")
+            if not w.isalpha() or own[0] == MARKED or own[-1] == MARKED:
+                most = math.inf
+                break
+            n = self.lower.get(w)
+            unknown = UNKNOWN + UNKNOWN_LETTER * len(w) + INNER_CAPITAL * (len(own) - len(w))
+            most += min(self.log_total - math.log(n), unknown) if n else unknown
+        rest = [0.0] * (len(low) + 1)
+        last = len(low)
+        while (at := max(low.rfind(BLANK, 0, last), low.rfind(BREAK, 0, last))) >= 0:
+            pair, begins = low[at + 1 : at + 3], 0.0
+            if pair and pair[0].isalnum():
+                begins = min([UNKNOWN, *(x + f for ways in self._next("", 0, pair)[::2] for _, _, _, x, f in ways)])
+            rest[: at + 1] = [rest[at + 1] + min(DROP[low[at]], begins)] * (at + 1)
+            last = at
+        return most, rest
+
+    def _arcs(self, low: str, start: int, best: list[float], enter: float, split: bool, most: float, rest: list[float]) -> Iterator[tuple[int, str, float, bool]]:
         """The vocabulary's words that can be read from a position: (end, word, cost, misread), inside tokens too if they may be split. More misread
-        characters are only tried where one reaches no word to the end; what can't lead to a cheaper path than a known one is left."""
+        characters are only tried where one reaches no word to the end; what can't lead to a cheaper path than a known one, or than most, is left."""
         words, lower, size, end = self.words, self.lower, len(self.words), len(low)
-        layers: list[list[tuple[int, str, int, float, bool]]] = [[(start, "", 0, 0.0, False)], [], []]
-        rest, whole = enter + self.least, False
+        layers: list[list[tuple[int, str, int, float, float, bool]]] = [[(start, "", 0, 0.0, self.least, False)], [], []]
+        whole = False
         for edits, todo in enumerate(layers):
             if whole:
                 break
             while todo:
-                at, prefix, first, paid, crossed = todo.pop()
-                if rest + paid >= best[end]:
+                at, prefix, first, paid, floor, crossed = todo.pop()
+                left = min(best[end], most) + SLACK - enter - paid - rest[at]
+                if floor >= left:
                     continue
-                if (split or at == end or low[at] in STOPS) and prefix and words[first] == prefix and low[at - 1] not in " \n\x02":
+                c = low[at] if at < end else ""
+                if (split or c in STOPS) and prefix and words[first] == prefix and low[at - 1] not in " \n\x02":
                     cost = self.log_total - math.log(lower[prefix]) + paid
                     if enter + cost < best[at]:
+                        if edits > 1 and most < best[end]:  # dearer words to the end that rule this one out may have been left
+                            yield from self._arcs(low, start, best, enter, split, math.inf, rest)
+                            return
                         whole |= at == end and edits > 0
                         yield at, prefix, cost, edits > 0
                 if at == end:
                     continue
-                c = low[at]
                 if c in " \n\x02":
                     if prefix and not (crossed and c != MARKED):
-                        todo.append((at + 1, prefix, first, paid + DROP[c], True))
+                        todo.append((at + 1, prefix, first, paid + DROP[c], floor, True))
                         if c == MARKED:
                             p = prefix + "-"
                             i = bisect_left(words, p, first)
                             if i < size and words[i].startswith(p):
-                                todo.append((at + 1, p, i, paid, crossed))
+                                todo.append((at + 1, p, i, paid, floor, crossed))
                     continue
                 if c == "­":
-                    todo.append((at + 1, prefix, first, paid, crossed))
+                    todo.append((at + 1, prefix, first, paid, floor, crossed))
                     continue
+                got = self._next(prefix, first, low[at : at + 2])
                 if edits < MOST_EDITS:
-                    price = MORE_EDITS if edits else 0.0
                     after = layers[edits + 1]
-                    bare = c if c.isascii() else plain(c)
-                    steps = [(1, m, price or x) for m, x in CONFUSIONS.get(bare, ())] + [(2, m, price or x) for m, x in CONFUSIONS.get(low[at : at + 2] if at + 2 <= end else "", ())]
-                    if bare != c:
-                        steps.append((1, bare, ACCENT))
-                    for k, letters, x in steps:
-                        if rest + paid + x < best[end]:
-                            p = prefix + letters
-                            i = bisect_left(words, p, first)
-                            if i < size and words[i].startswith(p):
-                                after.append((at + k, p, i, paid + x, crossed))
-                p = prefix + c
-                i = bisect_left(words, p, first)
-                if i < size and words[i].startswith(p):
-                    todo.append((at + 1, p, i, paid, crossed))
+                    for k, p, i, x, f in got[edits > 0]:
+                        if x + f < left:
+                            after.append((at + k, p, i, paid + x, f, crossed))
+                for k, p, i, x, f in got[2]:
+                    if f < left:
+                        todo.append((at + k, p, i, paid, f, crossed))
+
+    def _next(self, prefix: str, first: int, pair: str) -> Moves:
+        """Where a prefix can go over the next character or two."""
+        known = self.moves.get(pair)
+        if known is None:
+            known = self.moves[pair] = {}
+        got = known.get(prefix)
+        if got is None:
+            got = known[prefix] = self._moves(prefix, first, pair)
+            self.held += 1
+        return got
+
+    def _moves(self, prefix: str, first: int, pair: str) -> Moves:
+        words, size, c = self.words, len(self.words), pair[0]
+        bare = c if c.isascii() else plain(c)
+        steps = [(1, m, x, MORE_EDITS) for m, x in CONFUSIONS.get(bare, ())]
+        if len(pair) == 2:
+            steps += [(2, m, x, MORE_EDITS) for m, x in CONFUSIONS.get(pair, ())]
+        if bare != c:
+            steps.append((1, bare, ACCENT, ACCENT))
+        steps.append((1, c, 0.0, 0.0))
+        ways: Moves = ([], [], [])
+        for k, letters, x, more in steps:
+            p = prefix + letters
+            i = bisect_left(words, p, first)
+            if i < size and words[i].startswith(p):
+                floor = self.log_total - math.log(max(self.counts[i : bisect_left(words, p + LAST, i)]))
+                if x:
+                    ways[0].append((k, p, i, x, floor))
+                    ways[1].append((k, p, i, more, floor))
+                else:
+                    ways[2].append((k, p, i, x, floor))
+        return ways
 
     def cased(self, word: str, like: str) -> str:
         """word with the capitals of its commonest form that begins in the case of like."""
@@ -368,6 +455,7 @@ class Repairer:
     def __init__(self, decoder: Decoder):
         self.decoder = decoder
         self.memo: dict[str, tuple[str, list[str], bool]] = {}
+        self.sure: set[str] = set()
 
     def token(self, raw: str) -> tuple[str, list[str], bool] | None:
         """The token read alone: its text, the words that were misread, and whether it may belong to its neighbours. None for a token that is sure."""
@@ -409,7 +497,7 @@ class Repairer:
             w = words[-1]
             w[0] += word
             w[1] |= misread
-            w[2] |= any(c in stream[a:b] for c in (BREAK, MARKED))
+            w[2] |= BREAK in stream[a:b] or MARKED in stream[a:b]
         for text, misread, over in words:
             if over:
                 changes.append(("join", text))
@@ -423,36 +511,40 @@ class Repairer:
         drop = page_lines(lines, title, repeated)
         changes: list[tuple[str, str]] = [("drop", x.strip()) for x, d in zip(lines, drop, strict=True) if d]
         kept = [i for i, d in enumerate(drop) if not d and lines[i].strip()]
-        memo, d = self.memo, self.decoder
-        if len(memo) > 300_000:
+        memo, sure = self.memo, self.sure
+        if len(memo) + len(sure) > 300_000:
             memo.clear()
+            sure.clear()
         blank = [False] * len(kept)
         for pos in range(1, len(kept)):
             a, b = kept[pos - 1], kept[pos]
             blank[pos] = b - a > 1 and not any(drop[a + 1 : b])
         # The stream: every token with the sign before it and its line; a token that is sure has no entry in doubt.
         raws: list[str] = []
-        signs: list[str] = []
+        signs: dict[int, str] = {}  # before the tokens that begin a line; a blank is before all others
         first_of: list[int] = []  # where each line begins
         doubt: dict[int, tuple[str, list[str], bool]] = {}
         for pos, i in enumerate(kept):
-            first_of.append(len(raws))
-            for w in lines[i].split():
-                got = memo.get(w, 0)
-                if got == 0:
-                    got = memo[w] = self.token(w)
-                if got is not None:
-                    doubt[len(raws)] = got
-                raws.append(w)
-                signs.append(BLANK)
-            signs[first_of[-1]] = "" if blank[pos] or not pos else BREAK
+            own_tokens, begin = lines[i].split(), len(raws)
+            if not sure.issuperset(own_tokens):
+                for x, w in enumerate(own_tokens, begin):
+                    if w in sure:
+                        continue
+                    got = memo.get(w) or self.token(w)
+                    if got is None:
+                        sure.add(w)
+                    else:
+                        doubt[x] = memo[w] = got
+            first_of.append(begin)
+            signs[begin] = "" if blank[pos] or not pos else BREAK
+            raws += own_tokens
         bound: dict[int, str] = {}  # places of tokens that are read together with the token before, with the sign
         for at in first_of[1:]:
             if signs[at] and (sign := self._line_end(raws[at - 1], raws[at], at, doubt)):
                 bound[at] = sign
         for at in doubt:
             for x in (at, at + 1):
-                if 0 < x < len(raws) and signs[x] == BLANK and x not in bound and self._blank(raws[x - 1], raws[x], x, doubt):
+                if 0 < x < len(raws) and x not in signs and x not in bound and self._blank(raws[x - 1], raws[x], x, doubt):
                     bound[x] = BLANK
         out: dict[int, str] = {}
         own: dict[int, list[tuple[str, str]]] = {}
@@ -493,10 +585,14 @@ class Repairer:
         if last[-1] in HYPHENS and len(last) > 1 and (last[-2].isalnum() or last[-2] in "|!"):
             m = _TAIL.search(last.rstrip(HYPHENS))
             return MARKED if m and not m[0].isdigit() and TOKEN.match(first) else ""
-        m, n = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
-        if not m or not n or not n[0][0].islower() or _TAIL.search(last)[0] != m[0] or TOKEN.match(first)[0] != n[0]:
+        if not first[0].islower():
             return ""
-        a, b = m[0], n[0]
+        a, b = last, first
+        if not last.isalpha() or not first.isalpha():  # else the whole tokens are the words
+            m, n = _WORD_TAIL.search(last), _WORD_HEAD.match(first)
+            if not m or not n or _TAIL.search(last)[0] != m[0] or TOKEN.match(first)[0] != n[0]:
+                return ""
+            a, b = m[0], n[0]
         whole = d.lower.get((a + b).lower())
         if whole and d.cost(a + b) + DROP[BREAK] < d.cost(a) + d.cost(b):
             return BREAK
@@ -523,17 +619,23 @@ def vocabulary(docs: DataFrame, sections: str = "sections", least: float = LEAST
     Words that occur once are left out too: such a word can't be told from a misread one. At most 1 / least words are sent.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+    def counted(tokens: Counter) -> pa.RecordBatch:
+        found = words_of(tokens)
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter = Counter()
         for b in batches:
-            found.update(count_words(t for own in b.texts if own is not None for t in own if t))
-            if len(found) > 500_000:
-                yield pd.DataFrame(found.items(), columns=["word", "n"])
-                found = Counter()
-        yield pd.DataFrame(found.items(), columns=["word", "n"])
+            for t in b.column(0).flatten():
+                if text := t.as_py():
+                    tokens.update(whole_tokens(text))
+                    if len(tokens) > 500_000:
+                        yield counted(tokens)
+                        tokens = Counter()
+        yield counted(tokens)
 
     texts = docs.select(F.transform(sections, lambda s: s.text).alias("texts"))
-    words = materialize(texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = materialize(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     got = words.where(F.col("n") > max(1.0, least * total)).toArrow()
     return dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True)), total
@@ -550,18 +652,25 @@ def repair_documents(docs: DataFrame, scanned: str = "source_kind = 'pdf'", sect
     sent = spark.sparkContext.broadcast(vocabulary(docs, sections))
     rows = docs.where(scanned).select("key", "title", F.transform(sections, lambda s: s.text).alias("texts")).where("texts is not null")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(Decoder(*sent.value))
         for b in batches:
-            out = []
-            for key, title, texts in zip(b.key, b.title, b.texts, strict=True):
+            keys, numbers, out, kinds, items, ends = [], [], [], [], [], [0]
+            for key, title, own in zip(b.column("key").to_pylist(), b.column("title").to_pylist(), b.column("texts"), strict=True):
+                texts = own.as_py()
                 repeated = repeated_lines(texts)
                 for no, t in enumerate(texts):
                     changes, text = repairer.section(t, title, repeated, compose) if t else ([], "")
-                    out.append((key, no, text, [{"kind": k, "item": x} for k, x in changes]))
-            yield pd.DataFrame(out, columns=["key", "sec_no", "text", "changes"])
-
-    return rows.mapInPandas(run, "key string, sec_no int, text string, changes array<struct<kind:string,item:string>>")
+                    keys.append(key)
+                    numbers.append(no)
+                    out.append(text)
+                    kinds += [k for k, _ in changes]
+                    items += [x for _, x in changes]
+                    ends.append(len(items))
+            changed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(items, pa.string())], ["kind", "item"]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), pa.array(out, pa.string()), changed], ["key", "sec_no", "text", "changes"])
+
+    return rows.mapInArrow(run, "key string, sec_no int, text string, changes array<struct<kind:string,item:string>>")
 
 
 __all__ = ["Decoder", "count_words", "page_lines", "paragraphs", "repair", "repair_documents", "vocabulary"]

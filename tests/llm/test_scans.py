@@ -1,3 +1,6 @@
+import random
+import re
+import time
 from collections import Counter
 
 from corpusloom.llm import scans
@@ -90,3 +93,46 @@ def test_the_vocabulary_is_cut_by_shares(spark):
     docs = spark.createDataFrame(rows, "key string, sections array<struct<heading:string,level:int,text:string>>")
     assert scans.vocabulary(docs) == ({"common": 15_000, "rare": 6, "once": 3}, 15_009)
     assert scans.vocabulary(docs, least=0.001)[0] == {"common": 15_000}
+
+
+def test_words_are_counted_as_by_plain_patterns():
+    rnd = random.Random(3)
+    parts = ["we", "l'eau", "it's", "naïve", "x²", "a-b", "mea-", "--", "-", "obser¬", "deco­", "(kernel),", "12", "f(x)=3", "ab_cd"]
+    plain = re.compile(rf"\S+[{scans.HYPHENS}][ \t]*\n\s*\S*")
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) + rnd.choice([" ", "\n", " \n", "\n\n", "\t", "\r\n", ""]) for _ in range(rnd.randint(0, 40)))
+        assert scans.count_words(iter([text])) == Counter(scans.WORDS.findall(plain.sub(" ", text)))
+
+
+def test_a_long_token_is_counted_in_time():
+    began = time.process_time()
+    assert scans.count_words(iter(["the " + "x" * 100_000 + " the mea-\nsurement"])) == {"the": 2, "x" * 100_000: 1}
+    assert time.process_time() - began < 3
+
+
+def test_prefixes_are_looked_up_once():
+    class Seen(list):
+        lookups = 0
+
+        def __getitem__(self, i):
+            Seen.lookups += 1
+            return super().__getitem__(i)
+
+    d = decoder()
+    words = list(d.words)
+    d.words = Seen(words)
+    streams = [f"{a} {b[:3]}\x02{b[3:]} {c}" for a in words for b in words for c in words if len(b) > 5 and b.isalpha()]
+    for stream in streams:
+        assert "".join(x[2] for x in d.read(stream)) == stream.replace("\x02", "")
+    assert Seen.lookups < 20 * len(streams)
+
+
+def test_readings_under_bounds_are_the_cheapest():
+    words = {"the": 60_000, "then": 9_000, "hen": 20, "modern": 800, "mode": 700, "rn": 3, "m": 40, "in": 30_000, "put": 900, "input": 900, "fine-grained": 40, "fine": 300, "grained": 2, "dim": 70, "clim": 2}
+    d = scans.Decoder(words)
+    free = scans.Decoder(words)
+    free._bounds = lambda low: (float("inf"), [0.0] * (len(low) + 1))
+    rnd = random.Random(5)
+    for _ in range(1500):
+        stream = "".join(rnd.choice([*words, "thc", "rnodem", "clirn", "lnput", "qq"]) + rnd.choice([" ", "\n", "\x02", "-", ""]) for _ in range(rnd.randint(1, 4))).strip(" \n\x02")
+        assert (d.read(stream), d.memo[stream][0]) == (free.read(stream), free.memo[stream][0])
